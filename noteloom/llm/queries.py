@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import chat_format, decontamination, jaccard_join, packing
+from noteloom.llm import chat_format, decontamination, jaccard_join, packing, token_counts
 from noteloom.llm.tables import table
 
 
@@ -41,6 +41,10 @@ def op6_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op9_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.scan(docs, table(spark, sf_dir, "benchmark"))
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_chat_format": op3_chat_format,
     "op6_min_slack_packing": op6_min_slack_packing,
+    "op7_transducer_token_counts": op7_transducer_token_counts,
     "op9_fm_decontamination": op9_fm_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
