@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import chat_format, decontamination, jaccard_join, packing, token_counts
+from noteloom.llm import ann, chat_format, decontamination, jaccard_join, packing, token_counts
 from noteloom.llm.tables import table
 
 
+def op1_posting_list_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op9_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_posting_list_neighbours": op1_posting_list_neighbours,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_chat_format": op3_chat_format,
     "op6_min_slack_packing": op6_min_slack_packing,
