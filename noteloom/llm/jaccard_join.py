@@ -1,9 +1,11 @@
 """N-gram Jaccard join by filtering under several global token orders.
 
 1. Documents with the same shingle set form a class; one class, one node.
-2. The order of shingles puts those that very many documents share last (all
-   documents are counted) and the others by a hash. Two sets with the wanted
-   similarity share a shingle of their prefixes under every such order.
+2. Two sets with the wanted similarity share a shingle of their prefixes under every
+   order of all shingles. The first order takes a fixed part of the hash space first
+   and goes there from the rarest to the commonest, by counts over all documents, so a
+   passage that many documents share hardly enters a prefix. The other orders go by a
+   hash. In all of them the very commonest shingles come last.
 3. Classes that share a prefix shingle of the first order are tied to the least class
    of that shingle, not to each other; the components of these ties are blocks, and no
    link leaves a block.
@@ -21,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.llm.graph import components
@@ -29,6 +31,8 @@ from noteloom.llm.shingles import mix, shingle_sets
 from noteloom.session import cut
 
 ORDERS = (1, 2, 3)
+#: The share of the hash space whose shingles are counted one by one.
+COUNTED = 0.2
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -51,6 +55,19 @@ class Order:
         known = self.sorted[at] == shingles
         return shingles[~known], self.common[np.sort(self.rank[at[known]])]
 
+    def candidates(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the first order's prefix is taken from: the counted part, and what must follow if it is too short."""
+        rare, common = self.parts(shingles)
+        places = mix(rare, 0)
+        inside = places < np.uint64(int(COUNTED * 2**64))
+        lack = max(0, prefix_length(len(shingles), self.percent) - int(inside.sum()))
+        outside = rare[~inside]
+        if lack < len(outside):
+            follow = outside[np.argsort(places[~inside], kind="stable")[:lack]]
+        else:
+            follow = np.concatenate([outside, common[: lack - len(outside)]])
+        return rare[inside], follow
+
     def prefix(self, shingles: np.ndarray, order: int) -> np.ndarray:
         length = prefix_length(len(shingles), self.percent)
         rare, common = self.parts(shingles)
@@ -59,6 +76,10 @@ class Order:
         return np.concatenate([rare, common[: length - len(rare)]])
 
 
+#: Equal sets have equal lists, so any of them will do.
+PICKED = ((F.min, "doc_id", "node"), (F.first, "inside", "inside"), (F.first, "follow", "follow"))
+
+
 def batch_of(**columns: tuple[list | np.ndarray, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns.values()], names=list(columns))
 
@@ -84,20 +105,40 @@ def common_shingles(docs: DataFrame, width: int, least: int, most: int) -> np.nd
     return np.array([r.shingle for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-def signed(batches: Iterable[pa.RecordBatch], width: int, order: Order) -> Iterator[pa.RecordBatch]:
-    """Size, two 64-bit sums and the first order's prefix of each document's set."""
+def signed(batches: Iterable[pa.RecordBatch], width: int, order: Order | None) -> Iterator[pa.RecordBatch]:
+    """Size and two 64-bit sums of each document's set; with an order also its prefix candidates."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         sets = shingle_sets(texts, width)
         sums = [[int(mix(s, salt).sum(dtype=np.uint64).view(np.int64)) for s in sets] for salt in (11, 12)]
-        prefixes = [order.prefix(s, ORDERS[0]).view(np.int64) if len(s) else [] for s in sets]
-        yield batch_of(
-            doc_id=(ids, pa.int64()),
-            n=([len(s) for s in sets], pa.int64()),
-            sum_a=(sums[0], pa.int64()),
-            sum_b=(sums[1], pa.int64()),
-            prefix=(prefixes, pa.list_(pa.int64())),
-        )
+        columns = {
+            "doc_id": (ids, pa.int64()),
+            "n": ([len(s) for s in sets], pa.int64()),
+            "sum_a": (sums[0], pa.int64()),
+            "sum_b": (sums[1], pa.int64()),
+        }
+        if order is not None:
+            both = [order.candidates(s) if len(s) else (s, s) for s in sets]
+            for k, name in enumerate(("inside", "follow")):
+                columns[name] = ([x[k].view(np.int64) for x in both], pa.list_(pa.int64()))
+        yield batch_of(**columns)
+
+
+def prefix_postings(classes: DataFrame, percent: int) -> DataFrame:
+    """``node, token`` of first-order prefixes, without tokens that only one node has.
+
+    Tokens that no other node has come first in the order, so they only need to be counted.
+    """
+    token = F.explode(F.array(*[F.struct(F.lit(late).alias("late"), F.col(c).alias("tokens")) for late, c in ((False, "inside"), (True, "follow"))]))
+    flat = classes.withColumn("room", F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).withColumn("n_inside", F.size("inside"))
+    flat = flat.select("node", "room", "n_inside", token.alias("t")).select("node", "room", "n_inside", "t.late", F.explode("t.tokens").alias("token"))
+    shared = flat.groupBy("late", "token").agg(F.count("*").alias("df")).where("df > 1")
+    known = flat.join(shared, ["late", "token"])
+    node = Window.partitionBy("node", "late")
+    placed = known.withColumn("lone", F.col("n_inside") - F.count("*").over(node)).withColumn(
+        "place", F.row_number().over(node.orderBy("df", "token"))
+    )
+    return placed.where("late or lone + place <= room").select("node", "token")
 
 
 def linked(nodes: list[int], sets: list[np.ndarray], order: Order) -> list[tuple[int, int]]:
@@ -197,15 +238,16 @@ def jaccard_components(
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = Order(common_shingles(texts, width, common_least, common_most), percent)
-    schema = "doc_id long, n long, sum_a long, sum_b long, prefix array<long>"
-    signs = cut(texts.mapInArrow(lambda it: signed(it, width, order), schema))
+    schema = "doc_id long, n long, sum_a long, sum_b long"
+    signs = cut(texts.mapInArrow(lambda it: signed(it, width, None), schema))
     same = ["n", "sum_a", "sum_b"]
-    classes = cut(
-        signs.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
-    )
-    tokens = classes.select("node", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    ties = tokens.join(shared.select("token", "hub"), "token").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    real = "n > 0 and doc_id is not null"
+    classes = cut(signs.where(real).groupBy(*same).agg(F.min("doc_id").alias("node")))
+    lists = texts.mapInArrow(lambda it: signed(it, width, order), schema + ", inside array<long>, follow array<long>")
+    alike = lists.where(real).groupBy(*same).agg(*[f(c).alias(a) for f, c, a in PICKED])
+    tokens = cut(prefix_postings(alike, percent))
+    hubs = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
+    ties = tokens.join(hubs.select("token", "hub"), "token").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     blocks = components(ties).withColumnRenamed("label", "block")
     sized = blocks.join(classes.groupBy("node").agg(F.max("n").alias("n")), "node")
     tasks = tasks_of(sized, group_docs, group_shingles)
