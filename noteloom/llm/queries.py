@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import ann, chat_format, decontamination, jaccard_join, packing, token_counts
+from noteloom.llm import ann, chat_format, decontamination, jaccard_join, packing, secret_scan, token_counts
 from noteloom.llm.tables import table
 
 
@@ -49,6 +49,21 @@ def op7_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    counts = [
+        F.size(F.filter("secrets", secret_scan.of_kind(kind))).cast("long").alias(f"n_{kind}")
+        for kind in secret_scan.KINDS[:3]
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("secrets")).alias("spans"),
+    )
+
+
 def op9_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.scan(docs, table(spark, sf_dir, "benchmark"))
@@ -68,6 +83,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op6_min_slack_packing": op6_min_slack_packing,
     "op7_transducer_token_counts": op7_transducer_token_counts,
+    "op8_secret_scan": op8_secret_scan,
     "op9_fm_decontamination": op9_fm_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
