@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import ann, chat_format, decontamination, jaccard_join, packing, secret_scan, token_counts
+from noteloom.llm import ann, chat_format, decontamination, jaccard_join, language_id, packing, secret_scan, token_counts
 from noteloom.llm.tables import table
 
 
@@ -41,6 +41,21 @@ FROM turns GROUP BY conv_id
 """
 
 
+def fold(column: str, parts: int) -> Column:
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts))
+
+
+def op5_language_model(docs: DataFrame) -> language_id.Model:
+    return language_id.fit(docs.where(fold("doc_id", 3) != 1))
+
+
+def op5_piece_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs.select("doc_id", "text"), op5_language_model(docs))
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -81,6 +96,7 @@ QUERIES = {
     "op1_posting_list_neighbours": op1_posting_list_neighbours,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_chat_format": op3_chat_format,
+    "op5_piece_language_id": op5_piece_language_id,
     "op6_min_slack_packing": op6_min_slack_packing,
     "op7_transducer_token_counts": op7_transducer_token_counts,
     "op8_secret_scan": op8_secret_scan,
