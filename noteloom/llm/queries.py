@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import ann, chat_format, decontamination, jaccard_join, language_id, packing, secret_scan, token_counts
+from noteloom.llm import ann, chat_format, decontamination, jaccard_join, language_id, packing, quality_rules, secret_scan, surrogates, token_counts
 from noteloom.llm.tables import table
 
 
+def fold(column: str, parts: int) -> Column:
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts))
+
+
 def op1_posting_list_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -41,8 +45,12 @@ FROM turns GROUP BY conv_id
 """
 
 
-def fold(column: str, parts: int) -> Column:
-    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts))
+def op4_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality_rules.fit(docs, labels.where(fold("doc_id", 5) != 0))
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    scored = quality_rules.score(docs, model).select("doc_id", held_out.alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def op5_language_model(docs: DataFrame) -> language_id.Model:
@@ -92,15 +100,22 @@ def op9_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.substitute(docs).withColumn("n_entities", F.size("entities"))
+
+
 QUERIES = {
     "op1_posting_list_neighbours": op1_posting_list_neighbours,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_chat_format": op3_chat_format,
+    "op4_rule_quality": op4_rule_quality,
     "op5_piece_language_id": op5_piece_language_id,
     "op6_min_slack_packing": op6_min_slack_packing,
     "op7_transducer_token_counts": op7_transducer_token_counts,
     "op8_secret_scan": op8_secret_scan,
     "op9_fm_decontamination": op9_fm_decontamination,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": OP3_SQL.replace("CONTROL", rf"'([<\[])(\\*)({chat_format.CONTROL})'"),
