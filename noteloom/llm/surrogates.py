@@ -159,7 +159,7 @@ def replaced(text: str, replacer: Replacer) -> tuple[str, list[dict]]:
     return "".join([*out, text[last:]]), found
 
 
-ENTITIES = T.ArrayType(T.StructType().add("kind", "string").add("start", "int").add("end", "int").add("surrogate", "string"))
+ENTITIES = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("surrogate", "string"))
 ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
 
 
