@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom.functions import markdown as md
 from noteloom.functions import text as tx
 from noteloom.operators import assembly, batching, links, retrieval, usage, validation, vault, web
 from noteloom.sources import virtual_vault as vv
@@ -478,3 +479,17 @@ def heading_coverage(spark, d):
 def slugs(spark, d):
     title = F.regexp_replace(F.lower("url"), "[^a-z/]", "")
     return vv.read(spark, d, "pages").select("page_id", F.replace(tx.slug(title), F.lit(" "), F.lit("")).alias("slug"))
+
+
+@query()
+def inline_links(spark, d):
+    """Each document's language and its first long word as titles, linked where prose first has them."""
+    t = vv.read(spark, d, "documents")
+    titles = F.array("lang", F.regexp_extract("text", r"([A-Za-z]{6,})", 1))
+    return t.select("doc_id", md.linked(F.col("text"), titles).alias("text"))
+
+
+@query("SELECT doc_id, text || ' одномерная' AS text FROM documents")
+def glitch_free_text(spark, d):
+    t = vv.read(spark, d, "documents")
+    return t.select("doc_id", md.glitch_free(F.concat("text", F.lit(" однoмерная"))).alias("text"))
