@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import markdown as md
 from noteloom.functions import text as tx
-from noteloom.operators import assembly, batching, links, retrieval, usage, validation, vault, web
+from noteloom.operators import assembly, batching, links, planning, retrieval, usage, validation, vault, web
 from noteloom.sources import virtual_vault as vv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -493,3 +493,45 @@ def inline_links(spark, d):
 def glitch_free_text(spark, d):
     t = vv.read(spark, d, "documents")
     return t.select("doc_id", md.glitch_free(F.concat("text", F.lit(" однoмерная"))).alias("text"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN conv_id % 4 IN (0, 3) AND turn % 3 = 0 THEN 'definition' WHEN conv_id % 4 = 1 AND turn % 3 = 1 THEN 'context'
+  WHEN conv_id % 4 = 2 AND turn % 3 = 2 THEN 'steps' ELSE 'other' END AS kind FROM conversations""")
+def normalize_kinds(spark, d):
+    c = vv.read(spark, d, "conversations")
+    domain = F.get(F.array(*[F.lit(x) for x in (*planning.KINDS, "unknown")]), (F.col("conv_id") % 4).cast("int"))
+    kind = F.get(F.array(F.lit("definition"), F.lit("context"), F.lit("steps")), (F.col("turn") % 3).cast("int"))
+    return c.select("conv_id", "turn", planning.normalized_kind(domain, kind).alias("kind"))
+
+
+@query("SELECT conv_id, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn = c.turn AND length(x.text) % 2 = 0)")
+def undone_units(spark, d):
+    c = vv.read(spark, d, "conversations")
+    return planning.undone(c.select("conv_id", "turn"), c.where("length(text) % 2 = 0"), ["conv_id", "turn"])
+
+
+@query("SELECT user_id AS request_id, min(event_id) AS attempt FROM events WHERE value >= 20 GROUP BY user_id")
+def failover(spark, d):
+    e = vv.read(spark, d, "events")
+    return planning.first_success(e.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("attempt"), (F.col("value") >= 20).alias("ok")))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 57) || '…' ELSE text END AS label FROM documents")
+def task_listing(spark, d):
+    return vv.read(spark, d, "documents").select("doc_id", planning.preview(F.col("text")).alias("label"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 3 HOUR, '%d.%m.%Y %H:%M') || ' по мск' AS shown FROM events")
+def moscow_times(spark, d):
+    return vv.calls(spark, d).select("event_id", planning.moscow_time(F.col("ts")).alias("shown"))
+
+
+@query(f"WITH {NOTES} SELECT DISTINCT CASE WHEN doc_id % 3 <> 0 THEN title ELSE doc_id::VARCHAR END AS name FROM notes")
+def linking_context(spark, d):
+    return planning.link_names(drafts(spark, d))
+
+
+@query("SELECT conv_id % 10 AS task_id, count(DISTINCT conv_id) AS n_notes, count(*) AS n_subpoints FROM conversations GROUP BY 1")
+def plan_totals(spark, d):
+    c = vv.read(spark, d, "conversations")
+    return planning.totals(c.select((F.col("conv_id") % 10).alias("task_id"), F.col("conv_id").alias("note_id")))
