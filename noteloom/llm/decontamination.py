@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noteloom.llm.fm_index import FMIndex
+from noteloom.llm.tables import giving_back
 
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPAN = "array<struct<start:int,end:int>>"
@@ -124,7 +125,7 @@ def scan(
     item_col: str = "item_id",
     item_text_col: str = "text",
     width: int = 10,
-    shard_words: int = 1 << 20,
+    shard_words: int = 1 << 19,
     sample: int = 8,
     block_bytes: int = 8 << 20,
 ) -> DataFrame:
@@ -148,7 +149,7 @@ def scan(
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == k).collect()
         phrases = Phrases([(r.item, r.words) for r in block], width)
-        run = lambda it, p=phrases: scanned(it, text_col, p, shard_words, sample)
+        run = lambda it, p=phrases: giving_back(scanned, it, text_col, p, shard_words, sample)
         found = found.mapInArrow(run, T.StructType(kept + added))
     return found
 
@@ -170,7 +171,7 @@ def without_spans(batches: Iterable[pa.RecordBatch], text_col: str) -> Iterator[
 
 def remove_hits(scanned_docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Scanned documents with the hit spans cut out of their texts; others are unchanged."""
-    hit = scanned_docs.mapInArrow(lambda it: without_spans(it, text_col), scanned_docs.schema)
+    hit = scanned_docs.mapInArrow(lambda it: giving_back(without_spans, it, text_col), scanned_docs.schema)
     return hit
 
 

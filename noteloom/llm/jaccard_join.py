@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from noteloom.llm.graph import components
 from noteloom.llm.shingles import mix, shingle_sets
+from noteloom.llm.tables import giving_back
 from noteloom.session import cut
 
 ORDERS = (1, 2, 3)
@@ -85,12 +86,13 @@ def batch_of(**columns: tuple[list | np.ndarray, pa.DataType]) -> pa.RecordBatch
 
 
 def counted(batches: Iterable[pa.RecordBatch], width: int, least: int) -> Iterator[pa.RecordBatch]:
-    """How many documents of each batch hold a shingle, where at least ``least`` do."""
+    """How many of every 4000 documents hold a shingle, where at least ``least`` do."""
     for batch in batches:
-        sets = shingle_sets(batch.column(0).to_pylist(), width)
-        values, counts = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
-        keep = counts >= least
-        yield batch_of(shingle=(values[keep].view(np.int64), pa.int64()), n=(counts[keep], pa.int64()))
+        for at in range(0, batch.num_rows, 4000):
+            sets = shingle_sets(batch.column(0).slice(at, 4000).to_pylist(), width)
+            values, counts = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
+            keep = counts >= least
+            yield batch_of(shingle=(values[keep].view(np.int64), pa.int64()), n=(counts[keep], pa.int64()))
 
 
 def common_shingles(docs: DataFrame, width: int, least: int, most: int) -> np.ndarray:
@@ -99,7 +101,7 @@ def common_shingles(docs: DataFrame, width: int, least: int, most: int) -> np.nd
     They only order the shingles. Any fixed order gives the same links, so neither
     ``least`` nor ``most`` can lose one.
     """
-    found = docs.select("text").mapInArrow(lambda it: counted(it, width, 4), "shingle long, n long")
+    found = docs.select("text").mapInArrow(lambda it: giving_back(counted, it, width, 3), "shingle long, n long")
     top = found.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     rows = top.orderBy(F.desc("n"), "shingle").limit(most).collect()
     return np.array([r.shingle for r in reversed(rows)], np.int64).view(np.uint64)
@@ -107,7 +109,8 @@ def common_shingles(docs: DataFrame, width: int, least: int, most: int) -> np.nd
 
 def signed(batches: Iterable[pa.RecordBatch], width: int, order: Order | None) -> Iterator[pa.RecordBatch]:
     """Size and two 64-bit sums of each document's set; with an order also its prefix candidates."""
-    for batch in batches:
+    parts = (batch.slice(at, 2000) for batch in batches for at in range(0, batch.num_rows, 2000))
+    for batch in parts:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         sets = shingle_sets(texts, width)
         sums = [[int(mix(s, salt).sum(dtype=np.uint64).view(np.int64)) for s in sets] for salt in (11, 12)]
@@ -239,11 +242,11 @@ def jaccard_components(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = Order(common_shingles(texts, width, common_least, common_most), percent)
     schema = "doc_id long, n long, sum_a long, sum_b long"
-    signs = cut(texts.mapInArrow(lambda it: signed(it, width, None), schema))
+    signs = cut(texts.mapInArrow(lambda it: giving_back(signed, it, width, None), schema))
     same = ["n", "sum_a", "sum_b"]
     real = "n > 0 and doc_id is not null"
     classes = cut(signs.where(real).groupBy(*same).agg(F.min("doc_id").alias("node")))
-    lists = texts.mapInArrow(lambda it: signed(it, width, order), schema + ", inside array<long>, follow array<long>")
+    lists = texts.mapInArrow(lambda it: giving_back(signed, it, width, order), schema + ", inside array<long>, follow array<long>")
     alike = lists.where(real).groupBy(*same).agg(*[f(c).alias(a) for f, c, a in PICKED])
     tokens = cut(prefix_postings(alike, percent))
     hubs = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
@@ -253,7 +256,7 @@ def jaccard_components(
     tasks = tasks_of(sized, group_docs, group_shingles)
     meet = tasks.join(texts.withColumnRenamed("doc_id", "node"), "node").select("task", "node", "text")
     keyed = meet.select(F.to_json("task").alias("task"), "node", "text").repartition("task").sortWithinPartitions("task")
-    links = keyed.mapInArrow(lambda it: joined(it, width, order), "a long, b long").where("a <> b")
+    links = keyed.mapInArrow(lambda it: giving_back(joined, it, width, order), "a long, b long").where("a <> b")
     groups = components(links)
     named = classes.select(*same, "node").join(groups, "node", "left").select(*same, F.coalesce("label", "node").alias("component"))
     out = signs.select("doc_id", *same).join(named, same, "left")

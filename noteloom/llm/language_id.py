@@ -18,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm.tables import tokenizer_file
+from noteloom.llm.tables import giving_back, tokenizer_file
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 #: Longer words are cut, so that products stay within double precision.
 LONGEST = 40
 UNKNOWN = 1e-7
+#: Pieces and spans of words are compared by polynomials of their characters modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+MARKS = ".,;:!?$%&*#|\"'()"
 
 
 def words_of(chunk: str) -> list[str]:
@@ -45,62 +48,77 @@ def vocabulary(path: str) -> dict[str, int]:
     return pieces
 
 
+Span = tuple[int, int, np.ndarray, np.ndarray]
+
+
 class Lattice:
     """Forward and backward passes over many words of one length at a time."""
 
     def __init__(self, pieces: dict[str, int]):
-        self.pieces, self.unknown = pieces, len(pieces)
+        self.unknown = len(pieces)
         self.most = max(map(len, pieces), default=1)
-
-    def by_length(self, words: list[str]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]]:
-        """Rows of one length with the piece (or the unknown one, for single characters) of each span."""
+        keys = np.array([self.key(p) for p in pieces], np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.numbers = keys[order], np.array(list(pieces.values()), np.int64)[order]
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two pieces of the vocabulary have the same key")
+
+    @staticmethod
+    def key(piece: str) -> int:
+        value = 0
+        for c in piece:
+            value = (value * BASE + ord(c) + 1) % 2**64
+        return value
+
+    def by_length(self, words: list[str]) -> Iterator[tuple[np.ndarray, int, list[Span]]]:
+        """Words of one length, and by start and end those that have a piece there, with the piece.
+
+        A single character that is no piece is the unknown one.
+        """
         groups: dict[int, list[int]] = defaultdict(list)
         for k, w in enumerate(words):
             groups[len(w)].append(k)
-        get, none = self.pieces.get, self.unknown
         for length, rows in groups.items():
-            same = [words[k] for k in rows]
-            spans = []
-            for end in range(1, length + 1):
-                for start in range(max(0, end - self.most), end):
-                    ids = np.array([get(w[start:end], none) for w in same])
-                    if end - start == 1 or (ids != none).any():
-                        spans.append((start, end, ids))
-            yield np.array(rows), spans
-
-    def weights(self, table: np.ndarray, start: int, end: int, ids: np.ndarray) -> np.ndarray:
-        """Probabilities of a span; only single characters may be unknown."""
-        out = table[ids]
-        if end - start > 1:
-            out[ids == self.unknown] = 0
-        return out
+            codes = np.array([words[k] for k in rows], f"<U{length}").view(np.uint32).reshape(-1, length).astype(np.uint64) + np.uint64(1)
+            spans: list[Span] = []
+            for start in range(length):
+                keys = np.zeros(len(rows), np.uint64)
+                for end in range(start + 1, min(length, start + self.most) + 1):
+                    keys = keys * np.uint64(BASE) + codes[:, end - 1]
+                    at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+                    hit = self.keys[at] == keys if len(self.keys) else np.zeros(len(rows), bool)
+                    if end == start + 1:
+                        spans.append((start, end, np.arange(len(rows)), np.where(hit, self.numbers[at] if len(self.keys) else 0, self.unknown)))
+                    elif hit.any():
+                        spans.append((start, end, np.flatnonzero(hit), self.numbers[at[hit]]))
+            yield np.array(rows), length, spans
 
     def forward(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """Log probability of each word under each column of ``table`` (pieces and unknown by languages)."""
         out = np.zeros((len(words), table.shape[1]))
-        for rows, spans in self.by_length(words):
-            length = max(end for _, end, _ in spans)
-            alpha = np.zeros((length + 1, len(rows), table.shape[1]))
-            alpha[0] = 1
-            for start, end, ids in spans:
-                alpha[end] += alpha[start] * self.weights(table, start, end, ids)
-            out[rows] = np.log(alpha[length])
+        for rows, length, spans in self.by_length(words):
+            out[rows] = np.log(self.alphas(len(rows), length, spans, table)[length])
         return out
 
+    def alphas(self, n: int, length: int, spans: list[Span], table: np.ndarray) -> np.ndarray:
+        alpha = np.zeros((length + 1, n, table.shape[1]))
+        alpha[0] = 1
+        for start, end, some, ids in spans:
+            alpha[end][some] += alpha[start][some] * table[ids]
+        return alpha
+
     def expected(self, words: list[str], counts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Expected piece counts of words that occur ``counts`` (words by languages) times."""
         total = np.zeros_like(table)
-        for rows, spans in self.by_length(words):
-            length = max(end for _, end, _ in spans)
-            alpha, beta = np.zeros((2, length + 1, len(rows), table.shape[1]))
-            alpha[0] = beta[length] = 1
-            for start, end, ids in spans:
-                alpha[end] += alpha[start] * self.weights(table, start, end, ids)
-            for start, end, ids in reversed(spans):
-                beta[start] += beta[end] * self.weights(table, start, end, ids)
+        for rows, length, spans in self.by_length(words):
+            alpha = self.alphas(len(rows), length, spans, table)
+            beta = np.zeros_like(alpha)
+            beta[length] = 1
+            for start, end, some, ids in reversed(spans):
+                beta[start][some] += beta[end][some] * table[ids]
             scale = counts[rows] / alpha[length]
-            for start, end, ids in spans:
-                np.add.at(total, ids, alpha[start] * self.weights(table, start, end, ids) * beta[end] * scale)
+            for start, end, some, ids in spans:
+                np.add.at(total, ids, alpha[start][some] * table[ids] * beta[end][some] * scale[some])
         return total
 
 
@@ -129,33 +147,39 @@ def learn(words: list[tuple[str, str, int]], pieces: dict[str, int], rounds: int
 
 
 class Scorer:
-    """Log probabilities of texts, by a cache over white-space chunks that starts anew when full."""
+    """Languages of texts, by a cache over white-space chunks that starts anew when full."""
 
     def __init__(self, model: Model, most: int = 400_000):
         self.model, self.lattice, self.most = model, Lattice(model.pieces), most
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = {}  # a row of ``scores`` for each chunk; row 0 is for no letters
         self.scores = np.zeros((1024, len(self.model.languages)))
-        self.letters = np.zeros(1024, bool)
+        self.n_rows = 1
 
     def add(self, chunks: set[str]) -> None:
-        fresh = sorted(chunks)
-        parts = [words_of(c) for c in fresh]
+        """Rows for new chunks: one for each bare word, shared by its forms with marks, one for each other chunk."""
+        bare = {c: c if c.isalpha() else c.strip(MARKS) for c in chunks}
+        fresh = sorted({b for b in bare.values() if b and b not in self.number})
+        parts = [[MARK + b] if b.isalpha() and len(b) <= LONGEST else words_of(b) for b in fresh]
         words = sorted({w for p in parts for w in p})
         found = dict(zip(words, self.lattice.forward(words, self.model.table), strict=True))
-        while len(self.number) + len(fresh) > len(self.scores):
+        while self.n_rows + len(fresh) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        for chunk, part in zip(fresh, parts, strict=True):
-            k = self.number[chunk] = len(self.number)
-            self.scores[k] = sum((found[w] for w in part), np.zeros(self.scores.shape[1]))
-            self.letters[k] = bool(part)
+        for b, part in zip(fresh, parts, strict=True):
+            if part:
+                self.number[b] = self.n_rows
+                self.scores[self.n_rows] = found[part[0]] if len(part) == 1 else sum(found[w] for w in part)
+                self.n_rows += 1
+            else:
+                self.number[b] = 0
+        for c, b in bare.items():
+            self.number[c] = self.number[b] if b else 0
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        for at in range(0, len(texts), 500):
-            chunks = [(t or "").lower().split() for t in texts[at : at + 500]]
+        for at in range(0, len(texts), 2000):
+            chunks = [(t or "").lower().split() for t in texts[at : at + 2000]]
             if len(self.number) > self.most:
                 self.reset()
             lack = {c for x in chunks for c in x if c not in self.number}
@@ -163,7 +187,7 @@ class Scorer:
                 self.add(lack)
             for x in chunks:
                 rows = np.array([self.number[c] for c in x], np.int64)
-                if not self.model.languages or not self.letters[rows].any():
+                if not self.model.languages or not rows.any():
                     yield "und", 0.0
                     continue
                 score = self.scores[rows].sum(axis=0)
@@ -193,8 +217,11 @@ def fit(
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.select("id", "lang").withColumn("place", place).where(F.col("place") <= docs_per_language).select("id", "lang").distinct()
+    named = rows.select("id", "lang", (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / (1 << 40)).alias("draw"))
+    sizes = named.groupBy("lang").agg(F.count("*").alias("n"))
+    likely = named.join(sizes, "lang").where(F.col("draw") * F.col("n") <= 2 * docs_per_language)  # few rows a language
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
+    chosen = likely.withColumn("place", place).where(F.col("place") <= docs_per_language).select("id", "lang").distinct()
     some = rows.join(F.broadcast(chosen), ["id", "lang"])
     chunks = some.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("chunk")).groupBy("lang", "chunk").count()
     words = [(r.lang, w, r["count"]) for r in chunks.collect() for w in words_of(r.chunk)]
@@ -209,4 +236,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     with these names replaced; repeated rows are scored alike.
     """
     schema = docs.drop("lang_pred", "score").schema.add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(lambda it: predicted(it, model, text_col), schema)
+    return docs.mapInArrow(lambda it: giving_back(predicted, it, model, text_col), schema)

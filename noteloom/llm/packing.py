@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.tables import tokenizer_file
+from noteloom.llm.tables import giving_back, tokenizer_file
 
 #: The split rule of the word-level BPE file.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -45,7 +45,7 @@ class ChunkEncoder:
     The cache holds at most ``most`` chunks and then starts anew.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -204,4 +204,4 @@ def pack(
     """
     path = tokenizer_file("word_bpe_49k.json", tokenizer_path)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(lambda it: packed(it, path, capacity, end_id, waiting), SCHEMA)
+    return chosen.mapInArrow(lambda it: giving_back(packed, it, path, capacity, end_id, waiting), SCHEMA)

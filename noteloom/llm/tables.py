@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,3 +22,20 @@ def tokenizer_file(name: str, path: str | None = None) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+def giving_back(run: Callable[..., Iterator[pa.RecordBatch]], batches: Iterable[pa.RecordBatch], *args) -> Iterator[pa.RecordBatch]:
+    """``run(batches, *args)``, and then hand what it freed back to the system.
+
+    Python workers are used again by later tasks and stages; without this each keeps the
+    most that any of its tasks ever needed.
+    """
+    try:
+        yield from run(batches, *args)
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: nothing to trim
+            pass
