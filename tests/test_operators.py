@@ -103,3 +103,22 @@ def test_stream(spark, tmp_path):
     incremental.upsert_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     table = incremental.current(spark.read.parquet(str(tmp_path / "out")))
     assert sorted((r.path, r.updated_at) for r in table.collect()) == [("a", 2), ("b", 1)]
+
+
+def test_rendered_note_reads_back(spark, tmp_path):
+    row = ("Заметка: 1", ["a", "b"], "2024-05-01", "", "Тело [[[[X]]]]\n", ["[[Y]]", "Z"], False)
+    df = spark.createDataFrame([row], "t string, tags array<string>, c string, s string, b string, l array<string>, m boolean")
+    text = df.select(ns.rendered(df.t, df.tags, df.c, df.s, df.b, df.l, df.m).alias("x")).first().x
+    assert text == '---\ntitle: "Заметка: 1"\ntags:\n- a\n- b\ncreated: \'2024-05-01\'\n---\n\nТело [[X]]\n\n## Связанные заметки\n\n- [[Y]]\n- [[Z]]\n'
+    (tmp_path / "n.md").write_text(text)
+    back = ns.parse_notes(ns.read_notes(spark, str(tmp_path))).first()
+    assert (back.title, back.tags, back.outlinks) == ("Заметка: 1", ["a", "b"], ["X", "Y", "Z"])
+
+
+def test_exponential_average_equals_the_fold(spark):
+    rows = [(k, "r", f"2024-01-0{1 + k // 4} 00:00:{k:02d}", float(k * k % 7)) for k in range(12)]
+    df = spark.createDataFrame(rows, "event_id int, role string, ts string, x double").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = rows[0][3]
+    for r in rows[1:]:
+        want = 0.3 * r[3] + 0.7 * want
+    assert abs(usage.moving_average(df, F.col("x")).first().average - want) < 1e-9
