@@ -118,6 +118,27 @@ def scanned(
         yield pa.RecordBatch.from_arrays(columns, names=[*kept, *ADDED])
 
 
+def without_spans(batches: Iterable[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.names.index(text_col)
+        texts = batch.column(at).to_pylist()
+        for k, spans in enumerate(batch.column(batch.schema.names.index("hit_words")).to_pylist()):
+            if spans:
+                raw = texts[k].encode("utf-8", "replace")
+                places, out, last = [m.span() for m in WORDS.finditer(raw.lower())], [], 0
+                for s in spans:
+                    out.append(raw[last : places[s["start"]][0]])
+                    last = places[s["end"] - 1][1]
+                texts[k] = b"".join([*out, raw[last:]]).decode()
+        yield batch.set_column(at, batch.schema.names[at], pa.array(texts, batch.schema.field(at).type))
+
+
+def removing(
+    batches: Iterable[pa.RecordBatch], text_col: str, phrases: Phrases, shard_words: int, sample: int
+) -> Iterator[pa.RecordBatch]:
+    yield from without_spans(scanned(batches, text_col, phrases, shard_words, sample), text_col)
+
+
 def scan(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -128,6 +149,7 @@ def scan(
     shard_words: int = 1 << 19,
     sample: int = 8,
     block_bytes: int = 8 << 20,
+    remove: bool = False,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``hit_items`` and ``hit_words`` (spans of word numbers).
 
@@ -136,7 +158,8 @@ def scan(
     item id takes no part. Repeated rows are each scanned; an item that repeats counts
     once; columns of ``docs`` with the names added here are replaced. ``block_bytes``
     bounds the benchmark text that is sent to the tasks at once; larger benchmarks take
-    several blocks, all of which are searched.
+    several blocks, all of which are searched. With ``remove`` the hit spans are cut out
+    of the texts, in the same pass; other texts are unchanged.
     """
     items = benchmark.select(
         F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("words")
@@ -149,29 +172,7 @@ def scan(
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == k).collect()
         phrases = Phrases([(r.item, r.words) for r in block], width)
-        run = lambda it, p=phrases: giving_back(scanned, it, text_col, p, shard_words, sample)
+        work = removing if remove and k == n_blocks - 1 else scanned
+        run = lambda it, f=work, p=phrases: giving_back(f, it, text_col, p, shard_words, sample)
         found = found.mapInArrow(run, T.StructType(kept + added))
     return found
-
-
-def without_spans(batches: Iterable[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.names.index(text_col)
-        texts = batch.column(at).to_pylist()
-        for k, spans in enumerate(batch.column(batch.schema.names.index("hit_words")).to_pylist()):
-            if spans:
-                raw = texts[k].encode("utf-8", "replace")
-                places, out, last = [m.span() for m in WORDS.finditer(raw.lower())], [], 0
-                for s in spans:
-                    out.append(raw[last : places[s["start"]][0]])
-                    last = places[s["end"] - 1][1]
-                texts[k] = b"".join([*out, raw[last:]]).decode()
-        yield batch.set_column(at, batch.schema.names[at], pa.array(texts, batch.schema.field(at).type))
-
-
-def remove_hits(scanned_docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Scanned documents with the hit spans cut out of their texts; others are unchanged."""
-    hit = scanned_docs.mapInArrow(lambda it: giving_back(without_spans, it, text_col), scanned_docs.schema)
-    return hit
-
-

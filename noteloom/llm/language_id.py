@@ -149,7 +149,7 @@ def learn(words: list[tuple[str, str, int]], pieces: dict[str, int], rounds: int
 class Scorer:
     """Languages of texts, by a cache over white-space chunks that starts anew when full."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 250_000):
         self.model, self.lattice, self.most = model, Lattice(model.pieces), most
         self.reset()
 

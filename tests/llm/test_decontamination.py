@@ -65,7 +65,7 @@ def test_scan_equals_brute_force(spark, shard_words, block_bytes):
     assert sorted(got, key=str) == sorted(brute(DOCS, ITEMS), key=str)
     for r in out:
         assert sum(s.end - s.start for s in r.hit_words) == r.n_hit
-    cut = {r.doc_id: r.text for r in dc.remove_hits(dc.scan(docs, bench)).collect()}
+    cut = {r.doc_id: r.text for r in dc.scan(docs, bench, remove=True).collect()}
     assert cut[2] == "x ! y " and cut[7] == "nothing here" and cut[3] is None
     assert cut[5].split() == ["zz"] * 3051
 
