@@ -178,8 +178,8 @@ class Scorer:
             self.number[c] = self.number[b] if b else 0
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        for at in range(0, len(texts), 2000):
-            chunks = [(t or "").lower().split() for t in texts[at : at + 2000]]
+        for at in range(0, len(texts), 1000):
+            chunks = [(t or "").lower().split() for t in texts[at : at + 1000]]
             if len(self.number) > self.most:
                 self.reset()
             lack = {c for x in chunks for c in x if c not in self.number}

@@ -45,7 +45,7 @@ class ChunkEncoder:
     The cache holds at most ``most`` chunks and then starts anew.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         import regex
         from tokenizers import Tokenizer
 
