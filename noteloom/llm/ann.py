@@ -4,8 +4,9 @@ Vectors are lifted to the unit ball so that the largest inner product is the lea
 distance. Centroids come from a bounded sample, split evenly and then refined with a
 penalty on large lists. Every distinct vector goes to its nearest list and, near a
 boundary, to further lists, unless one it already has lies closer to that list's centroid
-than the vector does. A query walks a neighbour graph of the centroids in memory and keeps
-the lists whose distance is within a ratio of the nearest one's. Lists above a bound are
+than the vector does. A query walks a neighbour graph of the centroids in memory, measures
+the lists that the walk never came to, and keeps all whose distance is within a ratio of
+the nearest one's. Lists above a bound are
 dealt into parts, all of which are searched, so no task grows with a hot list.
 
 Equal vectors are indexed once with their least ids: a result never needs more of them.
@@ -27,7 +28,11 @@ from noteloom.session import cut
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds what the driver sees to place at most ``most_lists`` centroids."""
+    """``sample`` bounds what the driver sees to place at most ``most_lists`` centroids.
+
+    ``probes`` is the width of the walk over the centroids. It doesn't bound the lists that
+    are searched: only ``ratio`` does.
+    """
 
     list_rows: int = 256
     most_lists: int = 4096
@@ -113,10 +118,11 @@ class Lists:
         return out
 
     def probe(self, query: np.ndarray) -> list[int]:
-        """Nearest lists by a best-first walk over the graph, pruned by their distance ratio."""
+        """All lists within the distance ratio, the nearest first: a best-first walk, then those it never saw."""
         want = self.settings.probes
+        away = np.full(len(self.centroids), np.inf)
         start = self.entries
-        d = ((self.centroids[start] - query) ** 2).sum(axis=1)
+        away[start] = d = ((self.centroids[start] - query) ** 2).sum(axis=1)
         seen = np.zeros(len(self.centroids), bool)
         seen[start] = True
         open_ = list(zip(d.tolist(), start.tolist(), strict=True))
@@ -130,7 +136,8 @@ class Lists:
                 break
             fresh = self.edges[j][~seen[self.edges[j]]]
             seen[fresh] = True
-            for y, k in zip(((self.centroids[fresh] - query) ** 2).sum(axis=1).tolist(), fresh.tolist(), strict=True):
+            away[fresh] = ((self.centroids[fresh] - query) ** 2).sum(axis=1)
+            for y, k in zip(away[fresh].tolist(), fresh.tolist(), strict=True):
                 if len(best) < want:
                     heapq.heappush(best, (-y, k))
                 elif y < -best[0][0]:
@@ -138,9 +145,10 @@ class Lists:
                 else:
                     continue
                 heapq.heappush(open_, (y, k))
-        found = sorted((-x, j) for x, j in best)
-        limit = found[0][0] * self.settings.ratio**2
-        return [j for x, j in found if x <= limit]
+        if not seen.all():
+            away[~seen] = ((self.centroids[~seen] - query) ** 2).sum(axis=1)
+        within = np.flatnonzero(away <= away.min() * self.settings.ratio**2)
+        return within[np.argsort(away[within], kind="stable")].tolist()
 
 
 def matrix(column: pa.Array) -> np.ndarray:
