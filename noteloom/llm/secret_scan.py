@@ -202,11 +202,25 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rate: float = 0.05) -> DataFrame:
-    """``docs`` with every found secret's value replaced by ``mark``; texts without any are unchanged."""
+    """``docs`` with every found secret's value replaced by ``mark``; texts without any are unchanged.
+
+    A value is the end of its span. Values that overlap become one mark; the same characters
+    elsewhere in the text stay.
+    """
     found = scan(docs, text_col, rate)
-    values = F.array_distinct(F.transform("secrets", lambda s: s["value"]))
-    longest_first = F.transform(
-        F.array_sort(F.transform(values, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda x: x["v"]
-    )
-    clean = F.aggregate(longest_first, F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
-    return found.withColumn(text_col, F.when(F.size("secrets") > 0, clean).otherwise(F.col(text_col))).drop("secrets")
+    values = F.transform("secrets", lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end")))
+    text = F.col(text_col)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("gaps"))
+
+    def add(state: Column, x: Column) -> Column:
+        over = x["start"] < state["at"]
+        gap = F.substring(text, state["at"] + 1, x["start"] - state["at"])
+        gaps = F.when(over, state["gaps"]).otherwise(F.array_append(state["gaps"], gap))
+        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), gaps.alias("gaps"))
+
+    def joined(state: Column) -> Column:
+        rest = F.substring(text, state["at"] + 1, F.length(text))
+        return F.array_join(F.array_append(state["gaps"], rest), mark)
+
+    clean = F.aggregate(F.array_sort(values), zero, add, joined)
+    return found.withColumn(text_col, F.when(F.size("secrets") > 0, clean).otherwise(text)).drop("secrets")
