@@ -1,9 +1,10 @@
 """Chat formatting: schema fingerprints select the mapping that makes canonical turns.
 
-A record's layout is the set of its nested field paths. Its fingerprint is a hash of
-the sorted paths; the fingerprint, not the record, chooses one of the declared mappings,
-so a table of mixed layouts becomes one column expression with a branch a mapping. All
-of it is built from column functions.
+A record's layout is the set of its nested field paths, at any depth. Its fingerprint is a
+hash of the sorted paths; the fingerprint, not the record, chooses one of the declared
+mappings, the one whose required paths it holds. More paths than these do no harm.
+Records are read in Arrow batches; templates are column functions. Tables of turn rows go
+the same way: each row becomes a record with nested fields.
 
 The template is ``<|turn|>role\\ntext<|end|>\\n`` for each turn. A control string inside
 a text or role gets one backslash after its first character, also where it has some
@@ -13,8 +14,10 @@ already; reading back takes one away, so texts survive exactly.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+import json
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,7 +32,10 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 
 @dataclass(frozen=True)
 class Mapping:
-    """How one layout becomes turns: either an array field with role and text, or fields in order."""
+    """How one layout becomes turns: either an array field with role and text, or fields in order.
+
+    ``paths`` are required. ``as_is`` leaves roles as they are written.
+    """
 
     name: str
     paths: tuple[str, ...]
@@ -37,12 +43,17 @@ class Mapping:
     role: str | None = None
     text: str | None = None
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    as_is: bool = False
 
 
 #: The declared layouts. Fields of one turn are joined by a blank line.
 MAPPINGS = (
     Mapping("messages", ("messages[].content", "messages[].role"), "messages", "role", "content"),
     Mapping("conversations", ("conversations[].from", "conversations[].value"), "conversations", "from", "value"),
+    Mapping(
+        "turn_row",
+        ("row.conversation", "row.turn", "turns[].role", "turns[].text"), "turns", "role", "text", as_is=True,
+    ),
     Mapping("turns", ("turns[].role", "turns[].text"), "turns", "role", "text"),
     Mapping("prompt", ("completion", "prompt"), fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping("question", ("answer", "question"), fields=(("user", ("question",)), ("assistant", ("answer",)))),
@@ -65,56 +76,106 @@ MAPPINGS = (
 
 
 def fingerprint(paths: Iterable[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
-def record_fingerprint(record: Column) -> Column:
-    """The fingerprint of a JSON object's field paths, to the second level, arrays as ``[]``.
+def parsed(record: str | None) -> dict | None:
+    """The JSON object in ``record``; null where it is null, malformed or no object."""
+    try:
+        found = json.loads(record) if record else None
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
 
-    Array elements give the paths of every element; null fields count as present.
-    Null, malformed or non-object records have a null fingerprint.
+
+def paths_of(record: dict) -> frozenset[str]:
+    """Field paths down to the leaves: ``.`` into objects, ``[]`` into arrays, which give the paths of every element.
+
+    Null fields count as present; empty objects and arrays end a path.
     """
-    top = F.from_json(record, "map<string,string>")
+    out, open_ = set(), [("", record)]
+    while open_:
+        path, value = open_.pop()
+        if isinstance(value, dict) and value:
+            open_ += [(f"{path}.{k}" if path else k, v) for k, v in value.items()]
+        elif isinstance(value, list) and value:
+            open_ += [(f"{path}[]", v) for v in value]
+        else:
+            out.add(f"{path}[]" if isinstance(value, list) else path)
+    return frozenset(out)
 
-    def inner(key: Column, value: Column) -> Column:
-        items = F.from_json(value, "array<map<string,string>>")
-        keys = F.array_distinct(F.flatten(F.transform(items, lambda m: F.coalesce(F.map_keys(m), F.array()))))
-        nested = F.transform(keys, lambda k: F.concat(key, F.lit("[]."), k))
-        return F.when(F.ltrim(value).startswith("[") & (F.size(keys) > 0), nested).otherwise(F.array(key))
 
-    paths = F.flatten(F.transform(F.map_entries(top), lambda e: inner(e["key"], e["value"])))
-    joined = F.array_join(F.array_sort(F.array_distinct(paths)), "\n")
-    return F.when(top.isNotNull(), F.substring(F.sha2(joined, 256), 1, 16))
+@lru_cache(4096)
+def chosen(paths: frozenset[str], mappings: tuple[Mapping, ...]) -> Mapping | None:
+    """The mapping whose required paths a layout holds, below them also deeper ones.
 
+    Arrays of turns go before fields, then the one with the most paths, then the first
+    declared; an array without elements holds what is required of them, if nothing else fits.
+    """
+    holds = {x for p in paths for x in (p, *(p[:i] for i, c in enumerate(p) if c in ".["))}
+    fits = []
+    for place, m in enumerate(mappings):
+        empty = bool(m.array) and f"{m.array}[]" in paths
+        if all(p in holds or (empty and p.startswith(f"{m.array}[].")) for p in m.paths):
+            fits.append(((empty, not m.array, -len(m.paths), place), m))
+    return min(fits, key=lambda x: x[0])[1] if fits else None
+
+
+def said(value: object) -> str:
+    """A field as text, null as empty, other kinds as JSON; halves of surrogate pairs become ``?``."""
+    text = value or "" if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
-def canonical_turns(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """``TURN`` of a JSON record by the mapping that its fingerprint selects; null if none does."""
-    mark = record_fingerprint(record)
-    out = None
-    for m in mappings:
-        if m.array:
-            items = F.from_json(F.get_json_object(record, f"$.{m.array}"), "array<map<string,string>>")
-            turns = F.transform(items, element_turn(m))
-        else:
-            parts = []
-            for role, names in m.fields:
-                values = F.filter(F.array(*[F.get_json_object(record, f"$.{n}") for n in names]), lambda x: x != "")
-                parts.append(turn(F.lit(role), F.array_join(values, "\n\n")))
-            turns = F.filter(F.array(*parts), lambda t: (t["role"] != "system") | (t["text"] != ""))
-        chosen = mark == fingerprint(m.paths)
-        out = F.when(chosen, turns) if out is None else out.when(chosen, turns)
-    return out.cast(TURN)
 
+def turns_of(record: dict, m: Mapping) -> list[dict[str, str]]:
+    if m.array:
+        items = [x for x in record.get(m.array) or [] if isinstance(x, dict)]
+        pairs = [(said(x.get(m.role)), said(x.get(m.text))) for x in items]
+    else:
+        pairs = [(role, "\n\n".join(t for t in (said(record.get(n)) for n in names) if t)) for role, names in m.fields]
+        pairs = [(role, t) for role, t in pairs if role != "system" or t]
+    if not m.as_is:
+        pairs = [(ROLES.get(role.lower(), role.lower()), t) for role, t in pairs]
+    return [{"role": role, "text": t} for role, t in pairs]
 
-def element_turn(mapping: Mapping) -> Callable[[Column], Column]:
-    return lambda x: turn(x[mapping.role], x[mapping.text])
 
+def record_fingerprint(record: Column) -> Column:
+    """The fingerprint of a JSON object's nested field paths; null for null, malformed or non-object records."""
+
+    def marks(records: pa.Array) -> pa.Array:
+        found = map(parsed, records.to_pylist())
+        return pa.array([None if r is None else fingerprint(paths_of(r)) for r in found], pa.string())
 
-def turn(role: Column, text: Column) -> Column:
-    lowered = F.lower(F.coalesce(role, F.lit("")))
-    known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    name = F.coalesce(F.element_at(known, lowered), lowered)
-    return F.struct(name.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    return F.arrow_udf(marks, "string")(record)
+
+
+def canonical_turns(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """``TURN`` of a JSON record by the mapping that its layout selects; null if none does."""
+    kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+
+    def turns(records: pa.Array) -> pa.Array:
+        by_mark: dict[str, Mapping | None] = {}
+        out = []
+        for r in map(parsed, records.to_pylist()):
+            if r is None:
+                out.append(None)
+                continue
+            paths = paths_of(r)
+            mark = fingerprint(paths)
+            if mark not in by_mark:
+                by_mark[mark] = chosen(paths, mappings)
+            m = by_mark[mark]
+            out.append(turns_of(r, m) if m else None)
+        return pa.array(out, kind)
+
+    return F.arrow_udf(turns, TURN)(record)
+
+
+def turn_record(conv: Column, turn: Column, role: Column, text: Column) -> Column:
+    """A turn row as a JSON record of the layout ``turn_row``; null fields stay as nulls."""
+    row = F.struct(conv.alias("conversation"), turn.alias("turn"))
+    turns = F.array(F.struct(role.cast("string").alias("role"), text.cast("string").alias("text")))
+    return F.to_json(F.struct(row.alias("row"), turns.alias("turns")), {"ignoreNullFields": "false"})
 
 
 def escape(text: Column) -> Column:
@@ -172,16 +233,18 @@ def conversation_digests(
 ) -> DataFrame:
     """Format a table of turns and fold what is read back from the output, one row a conversation.
 
+    Each row goes through ``canonical_turns`` as a record of its own, so no record grows with
+    its conversation.
     Turns go in the order of ``turn``, ties by role, then text; null turns come first.
     Repeated rows are turns of their own. Rows with a null conversation form one
     conversation with a null id. Null roles and texts count as empty; the loss mask
     covers the texts of role ``assistant``. A conversation is streamed through its task
     row by row in sorted order and is never held whole.
     """
-    formatted = format_turn(F.col(role_col), F.col(text_col))
-    out = rows.select(
-        F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), formatted.alias("formatted")
-    )
+    conv, turn = F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn")
+    found = canonical_turns(turn_record(conv, turn, F.col(role_col), F.col(text_col)))
+    turns = rows.select(conv, turn, found.alias("turns")).select("conv_id", "turn", F.explode_outer("turns").alias("t"))
+    out = turns.select("conv_id", "turn", format_turn(F.col("t.role"), F.col("t.text")).alias("formatted"))
     role, text = read_turn(F.col("formatted"))
     back = out.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.length("formatted").alias("chars"))
     ordered = back.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
