@@ -9,11 +9,11 @@ leaves beside the token before it, so no merge is replayed over the whole pre-to
 
 States and transitions are compiled as texts first need them and shared by all later
 texts. A text is cut into chunks that are run side by side. Wherever a space follows an
-ASCII letter or digit the state is the same whatever came before, so the map of a chunk
-that has such a place sends every entry state to one exit state; maps compose by a
-prefix scan that hands each chunk the exit of the nearest constant map before it, and a
-second pass adds what each chunk emits before its first such place. A chunk without one
-is run from its true entry state.
+ASCII letter or digit the state is the same whatever came before, so a chunk starts there
+without its entry state, and a second pass adds what it emits before that place, from the
+exit of the chunk before it. These synchronising points stand in place of a prefix scan
+over maps of entry states. A chunk without one, as in CJK or other long texts without
+spaces, is run symbol by symbol from the exit of the chunk before it, in order.
 """
 
 from __future__ import annotations
