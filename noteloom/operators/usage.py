@@ -20,9 +20,17 @@ def admitted(calls: DataFrame, limit: int) -> DataFrame:
 
 
 def calls_in_last(calls: DataFrame, seconds: int = 60) -> DataFrame:
-    """How many calls of the role, itself included, are at most ``seconds`` old."""
-    w = Window.partitionBy("role").orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
-    return calls.withColumn("recent", F.count("*").over(w))
+    """How many calls of the role, itself included, are at most ``seconds`` old.
+
+    Each slot of ``seconds`` of a role is counted on its own, with the calls of the slot
+    before it, so no task holds all of a role. Calls without a time count among themselves.
+    """
+    at, span = F.unix_micros("ts"), seconds * 1_000_000
+    slot = F.floor(at / span)
+    own, next_ = F.struct(slot.alias("slot"), F.lit(True).alias("own")), F.struct((slot + 1).alias("slot"), F.lit(False).alias("own"))
+    dealt = calls.withColumn("dealt", F.explode(F.when(slot.isNull(), F.array(own)).otherwise(F.array(own, next_))))
+    w = Window.partitionBy("role", "dealt.slot").orderBy(at).rangeBetween(-span, 0)
+    return dealt.withColumn("recent", F.count("*").over(w)).where("dealt.own").drop("dealt")
 
 
 def hit_rate(calls: DataFrame, hit: Column) -> DataFrame:
