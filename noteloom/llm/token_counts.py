@@ -8,18 +8,16 @@ count. A state's last token is the one vocabulary entry that ends here and that
 leaves beside the token before it, so no merge is replayed over the whole pre-token.
 
 States and transitions are compiled as texts first need them and shared by all later
-texts. A text is cut into chunks that are run side by side. Wherever a space follows an
-ASCII letter or digit the state is the same whatever came before, so a chunk starts there
-without its entry state, and a second pass adds what it emits before that place, from the
-exit of the chunk before it. These synchronising points stand in place of a prefix scan
-over maps of entry states. A chunk without one, as in CJK or other long texts without
-spaces, is run symbol by symbol from the exit of the chunk before it, in order.
+texts. A text is cut into chunks that are run side by side. A chunk's map takes entry states
+to exit states and counts. Entry states to tabulate come from running up to the chunk from a
+little before it, in two ways that mostly agree; the maps are composed by a parallel prefix
+scan, and where the scan finds an entry state that a map lacks, the map gets it and the scan
+goes on.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,18 +30,23 @@ from noteloom.llm.packing import byte_alphabet
 from noteloom.llm.tables import tokenizer_file
 
 END, PAD = 256, 257
-SHIFT, BIAS = 6, 32
+SHIFT = 9
 #: The suffixes that the split rule takes with an apostrophe.
 SHORT, LONG = (b"s", b"t", b"m", b"d"), (b"re", b"ve", b"ll")
-SPACES_BEYOND_PYTHON = "\x1c\x1d\x1e\x1f"
 
 
-def char_class(char: str) -> str:
-    """``L`` letter, ``N`` number, ``W`` white space or ``P`` anything else."""
-    if char.isspace():
-        return "P" if char in SPACES_BEYOND_PYTHON else "W"
-    kind = unicodedata.category(char)[0]
-    return kind if kind in "LN" else "P"
+class CharClasses(dict):
+    """``L`` letter, ``N`` number, ``P`` anything else or ``W`` white space, as the library's own split tells them."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, char: str) -> str:
+        kind = next((k for k, lead in (("L", "a"), ("N", "1"), ("P", "!")) if len(self.split(lead + char)) == 1), "W")
+        self[char] = kind
+        return kind
 
 
 class Bpe:
@@ -85,7 +88,11 @@ class Transducer:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self.special = [t["content"] for t in config["added_tokens"]]
-        self.bpe, self.most_states = Bpe(config["model"]), most_states
+        self.bpe, self.most_states, self.classes = Bpe(config["model"]), most_states, CharClasses(path)
+        longest = max(map(len, self.bpe.tokens))  # counts in a state differ by no more, nor does a transition's
+        self.bias = 1 << (SHIFT - 1)
+        if longest + 2 >= self.bias or most_states >= 1 << (31 - SHIFT):
+            raise ValueError("the vocabulary's tokens or the states are too many for the table")
         self.reset()
 
     def reset(self) -> None:
@@ -95,7 +102,7 @@ class Transducer:
         self.table = np.full((1024, 64), -1, np.int32)
         self.bpe.beside.clear()
         self.start = self.numbered(("S", FRESH, b"", b""))
-        self.space = self.numbered(("W", FRESH, b" ", b""))
+        self.letter = self.numbered((*self.read("S", FRESH, b"", b"a", "L")[:3], b""))
         self.columns_for(np.array([END, PAD]))
 
     def numbered(self, state: tuple) -> int:
@@ -187,12 +194,10 @@ class Transducer:
             if len(char) < need:
                 to = (mode, part, held, char)
             else:
-                mode, part, held, delta = self.read(mode, part, held, char, char_class(char.decode()))
+                mode, part, held, delta = self.read(mode, part, held, char, self.classes[char.decode("utf-8", "replace")])  # cut characters come up in guessed entries only
                 to = (mode, part, held, b"")
-        if not -BIAS <= delta < BIAS:
-            raise ValueError("a transition emits more than the table can hold")
         number = self.numbered(to)  # may enlarge the table
-        self.table[state, self.column[symbol]] = number << SHIFT | (delta + BIAS)
+        self.table[state, self.column[symbol]] = number << SHIFT | (delta + self.bias)
 
     def advance(self, columns: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Run every lane over its row of ``columns`` (steps by lanes); exit states and emitted counts."""
@@ -208,7 +213,7 @@ class Transducer:
                 value = self.table.ravel().take(states * self.table.shape[1] + row)
             counts += value & (1 << SHIFT) - 1
             states = value >> SHIFT
-        return states.astype(np.int64), counts - BIAS * len(columns)
+        return states.astype(np.int64), counts - self.bias * len(columns)
 
     def run(self, state: int, symbols: np.ndarray) -> tuple[int, int]:
         """One lane, symbol by symbol."""
@@ -218,12 +223,31 @@ class Transducer:
             if value < 0:
                 self.compile(state, s)
                 value = self.table[state, self.column[s]]
-            total += (int(value) & (1 << SHIFT) - 1) - BIAS
+            total += (int(value) & (1 << SHIFT) - 1) - self.bias
             state = int(value) >> SHIFT
         return state, total
 
-    def counts(self, texts: list[bytes], chunk: int = 512, lanes: int = 8192) -> np.ndarray:
+    def batched(self, symbols: np.ndarray, states: np.ndarray, lanes: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and counts of rows of symbols; a few rows are run one by one."""
+        if len(states) < 16:
+            out = [self.run(int(s), row) for s, row in zip(states, symbols, strict=True)]
+            return np.array([s for s, _ in out], np.int64), np.array([n for _, n in out], np.int64)
+        leaves, total = np.empty(len(states), np.int64), np.empty(len(states), np.int64)
+        for at in range(0, len(states), lanes):
+            some = slice(at, at + lanes)
+            leaves[some], total[some] = self.advance(np.ascontiguousarray(self.column[symbols[some]].T), states[some])
+        return leaves, total
+
+    def entries(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two guesses of the state after the symbols in ``before``: from no open pre-token, and from an open word."""
+        inner = (before >= 0x80) & (before < 0xC0)
+        before[np.logical_and.accumulate(inner, axis=1)] = PAD  # the rest of a cut character
+        return tuple(self.batched(before, np.full(len(before), s))[0] for s in (self.start, self.letter))
+
+    def counts(self, texts: list[bytes], chunk: int = 512, warm: int = 64) -> np.ndarray:
         """Tokens of each text; special strings are not looked for here."""
+        if not texts:
+            return np.empty(0, np.int64)
         if len(self.states) > self.most_states:
             self.reset()
         n_chunks = np.array([len(t) // chunk + 1 for t in texts])
@@ -234,38 +258,33 @@ class Transducer:
             flat[at : at + len(t)] = np.frombuffer(t, np.uint8)
             flat[at + len(t)] = END
         self.columns_for(np.flatnonzero(np.bincount(flat, minlength=258)))
-        heads = np.zeros(len(symbols), bool)
-        heads[first] = True
-        total, leaves = np.zeros(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
-        starts = np.zeros(len(symbols), np.int64)
-        for at in range(0, len(symbols), lanes):
-            part = symbols[at : at + lanes]
-            known = np.zeros(257 + 1, bool)
-            known[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-            sure = (part[:, 1:] == 32) & known[part[:, :-1]]
-            begin = np.where(sure.any(axis=1), sure.argmax(axis=1) + 2, chunk + 1)
-            begin[heads[at : at + lanes]] = 0
-            starts[at : at + lanes] = begin
-            ready = np.flatnonzero(begin <= chunk)
-            columns = self.column[part[ready]]
-            columns[np.arange(chunk) < begin[ready, None]] = self.column[PAD]
-            enter = np.where(begin[ready] == 0, self.start, self.space)
-            leaves[at + ready], total[at + ready] = self.advance(np.ascontiguousarray(columns.T), enter)
-        for k in np.flatnonzero(starts > chunk).tolist():  # maps that are not constant
-            leaves[k], total[k] = self.run(int(leaves[k - 1]), symbols[k])
-        rest = np.flatnonzero((starts > 0) & (starts <= chunk))
-        for near in (True, False):
-            some = rest[(starts[rest] <= 48) == near]
-            if near:
-                for at in range(0, len(some), lanes):
-                    k = some[at : at + lanes]
-                    columns = self.column[symbols[k, :48]]
-                    columns[np.arange(48) >= starts[k, None]] = self.column[PAD]
-                    total[k] += self.advance(np.ascontiguousarray(columns.T), leaves[k - 1])[1]
-            else:
-                for k in some.tolist():
-                    total[k] += self.run(int(leaves[k - 1]), symbols[k, : starts[k]])[1]
-        return np.add.reduceat(total, first) if len(texts) else np.empty(0, np.int64)
+        last = first + n_chunks - 1
+        later = np.setdiff1d(np.arange(len(symbols)), first)
+        one, two = self.entries(symbols[later - 1, max(0, chunk - warm) :])
+        other = one != two
+        where = np.concatenate([first, later, later[other]])
+        enter = np.concatenate([np.full(len(first), self.start), one, two[other]])
+        leave, total = self.batched(symbols[where], enter)
+        heads = np.arange(len(first))
+        done = np.isin(where, last)
+        while True:
+            key = where << 32 | enter
+            order = np.argsort(key)
+            want = (where + 1) << 32 | leave
+            at = np.minimum(np.searchsorted(key, want, sorter=order), len(key) - 1)
+            follow = np.where((key[order[at]] == want) & ~done, order[at], np.arange(len(key)))
+            ends = follow == np.arange(len(key))
+            sums = np.where(ends, 0, total)
+            while not ends[follow].all():  # maps composed over ever longer runs of chunks
+                sums, follow = sums + sums[follow], follow[follow]
+            stop = follow[heads]
+            open_ = np.unique(stop[~done[stop]])
+            if not len(open_):
+                return sums[heads] + total[stop]
+            more, states = where[open_] + 1, leave[open_]
+            out, n = self.batched(symbols[more], states)
+            where, enter = np.r_[where, more], np.r_[enter, states]
+            leave, total, done = np.r_[leave, out], np.r_[total, n], np.r_[done, np.isin(more, last)]
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text, special strings in it counted as one token each."""

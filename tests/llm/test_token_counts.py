@@ -41,7 +41,23 @@ def test_chunks_compose(machine, chunk):
     whole = machine.counts(some, chunk=4096).tolist()
     if chunk < 64:
         assert [machine.run(machine.start, np.array([*t, tc.END]))[1] for t in some] == whole
-    assert machine.counts(some, chunk=max(chunk, 49), lanes=5).tolist() == whole
+    assert machine.counts(some, chunk=chunk).tolist() == whole
+    assert machine.counts(some, chunk=max(chunk, 49), warm=1).tolist() == whole
+
+
+def test_long_texts_of_any_script(machine, library):
+    rng = random.Random(8)
+    some = ["".join(rng.choices("你好世界中文的了是", k=4000)), "".join(rng.choices("abcdefABCDEF0123456789+/", k=6000)), "9" * 5000, " " * 4000 + "x", "=-" * 3000, "ก" * 2000 + "ไทย" * 700]
+    assert machine.count(some) == [len(library.encode(t, add_special_tokens=False).ids) for t in some]
+
+
+def test_all_code_points_in_pairs(machine, library):
+    rng = random.Random(5)
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rng.shuffle(points)
+    pairs = [chr(a) + chr(b) for a, b in zip(points[::2], points[1::2], strict=False)][:60_000]
+    some = ["\ua7da\u9ebf", "\U00013a48\u8e7e", *("".join(pairs[k : k + 3]) for k in range(0, len(pairs), 3))]
+    assert machine.count(some) == [len(x.ids) for x in library.encode_batch(some, add_special_tokens=False)]
 
 
 def test_starting_anew_changes_nothing(library):
