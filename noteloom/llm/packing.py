@@ -53,6 +53,8 @@ class ChunkEncoder:
         self.model = self.library.model
         self.pieces = regex.compile(PRETOKEN).findall
         self.plain = regex.compile(r"[!-~¡-įı-ɏ]+").fullmatch
+        #: Ends of words that are letters to every release of Unicode and stay single when lowered.
+        self.letter = regex.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏͰ-ͳΑ-ΡΣ-ωЀ-ҁҊ-ԯא-תぁ-ゖァ-ヺ一-龥가-힣]\Z").search
         self.alphabet = byte_alphabet()
         self.written = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.most = most
@@ -70,7 +72,7 @@ class ChunkEncoder:
         if len(self.known) >= self.most:
             self.known.clear()
         bare = raw.rstrip(b".,;:!?$%&*#|")
-        if bare and len(bare) < len(raw) and bare[-2:].decode(errors="ignore")[-1:].isalpha():
+        if bare and len(bare) < len(raw) and self.letter(bare[-4:].decode(errors="ignore")):
             mark = raw[len(bare) :]
             ids = (self.known.get(bare) or self.chunk(bare)) + (self.known.get(mark) or self.chunk(mark))
         else:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -28,6 +29,19 @@ def test_ids_are_the_librarys():
         assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_random_texts_and_of_letters_that_grow_when_lowered():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    rng, encode, library = random.Random(6), packing.ChunkEncoder(path), Tokenizer.from_file(path)
+    texts = ["İKİ, üç", "BİTTİ. SON", "TÜRKİYE'DEKİ!", "İ", "İ.", "a\u0307,", "\ua7da,", "가. 你, ω; ς! Σ. Ά?"]
+    kinds = ["İIıiŞşé.,;:!?'", "abcXYZ .,!?'\"()0123", "你好가나ωΣЖж.,!? ", "".join(chr(rng.randrange(1, 0x3000)) for _ in range(400)) + " .,!"]
+    texts += ["".join(rng.choices(rng.choice(kinds), k=rng.randrange(1, 30))) for _ in range(30_000)]
+    want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    for text, ids in zip(texts, want, strict=True):
+        assert encode(text) == ids, text
+
+
 def test_small_cache_changes_nothing():
     path = tokenizer_file("word_bpe_49k.json")
     small, large = packing.ChunkEncoder(path, most=2), packing.ChunkEncoder(path)
