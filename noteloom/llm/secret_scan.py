@@ -5,10 +5,10 @@ and a prefix sum of their lengths the starts. Strings of key-like characters tha
 both letters and digits are candidates. For each one an encoding is inferred, and under
 the hypothesis that it is random in that alphabet three p-values are taken: chi-squared
 uniformity, runs about the middle of the alphabet, and lag-one serial correlation. They are
-combined by Fisher's rule. Over all documents the Benjamini-Hochberg procedure, within
-strata of encoding and length, then decides which candidates are not random, so that at
-most a share ``rate`` of those let go are random ones. The rest are reported. The
-procedure works on counts by stratum and tenth of a decade, a table of bounded size.
+combined by Fisher's rule. What is random is a secret, so a report is false where its string
+is not random. Within strata of encoding and length over all documents, the share of false
+reports is estimated from the p-values, which are uniform for random strings, and held to
+``rate``. This works on counts by stratum and tenth of a decade, a table of bounded size.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 BINS = 300
+#: Candidates below this tenth of a decade, so with p-values above 0.1, tell how many random ones there are.
+SURE = 10
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -98,7 +100,8 @@ def tested(candidates: Column) -> Column:
 
     def valued(x: Column) -> Column:
         values = F.transform(x["chars"], lambda c: F.position(c, x["letters"]).cast("double"))
-        seen = F.transform(x["chars"], lambda c: (F.length(x["body"]) - F.length(F.replace(x["body"], c, F.lit("")))).cast("double"))
+        kinds = F.array_distinct(x["chars"])  # no more than the alphabet has
+        seen = F.transform(kinds, lambda c: F.pow((F.length(x["body"]) - F.length(F.replace(x["body"], c, F.lit("")))).cast("double"), 2))
         n, m = F.size(x["chars"]).cast("double"), F.length(x["letters"]).cast("double")
         return struct_of(x, base + " kind", v=values, n=n, m=m, squares=sum_of(seen), mean=sum_of(values) / n)
 
@@ -142,16 +145,21 @@ def candidates_of(text: Column) -> Column:
 
 
 def thresholds(docs: DataFrame, text_col: str = "text", rate: float = 0.05) -> dict[str, int]:
-    """For each stratum the bin from which candidates are not random; at most a few hundred strata.
+    """For each stratum the bin up to which candidates are reported; at most a few hundred strata.
 
     A stratum is an encoding and a power of two of the length, so their number is bounded.
+    Random candidates have uniform p-values, whatever their length. So those above
+    ``SURE`` tell how many random ones a stratum has, and how many of them to expect above
+    any bound; what is above the bound beyond that is not random. The bound is the lowest at
+    which this share of those reported is at most ``rate``.
     """
     found = docs.select(F.explode(candidates_of(F.coalesce(F.col(text_col), F.lit("")))).alias("c"))
     counts = found.groupBy("c.stratum", "c.bin").count()
     stratum = Window.partitionBy("stratum")
-    placed = counts.withColumn("up_to", F.sum("count").over(stratum.orderBy(F.desc("bin")))).withColumn("total", F.sum("count").over(stratum))
-    early = placed.where(F.pow(F.lit(10.0), -F.col("bin") / 10) <= rate * F.col("up_to") / F.col("total"))
-    rows = early.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()
+    random_ = F.sum(F.when(F.col("bin") < SURE, F.col("count")).otherwise(0)).over(stratum) / (1 - 10 ** (-SURE / 10))
+    placed = counts.withColumn("reported", F.sum("count").over(stratum.orderBy("bin"))).withColumn("random", random_)
+    wanted = F.col("random") * (1 - F.pow(F.lit(10.0), -(F.col("bin") + 1) / 10))
+    rows = placed.where(F.col("reported") * (1 - rate) <= wanted).groupBy("stratum").agg(F.max("bin").alias("bin")).collect()
     return {r.stratum: r.bin for r in rows}
 
 
@@ -180,7 +188,7 @@ def scan(docs: DataFrame, text_col: str = "text", rate: float = 0.05) -> DataFra
 
     base = F.concat(*[named(b, k) for k, b in enumerate(bases)])
     limit_of = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.lit(None).cast("map<string,int>")
-    kept = F.filter(candidates_of(text), lambda c: c["bin"] < F.coalesce(F.element_at(limit_of, c["stratum"]), F.lit(BINS + 1)))
+    kept = F.filter(candidates_of(text), lambda c: c["bin"] <= F.coalesce(F.element_at(limit_of, c["stratum"]), F.lit(-1)))
     frame = docs.withColumn("secrets", F.struct(base.alias("base"), kept.alias("kept")))
     base, kept = F.col("secrets.base"), F.col("secrets.kept")
     fresh = F.filter(kept, lambda c: ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])))
