@@ -8,9 +8,12 @@ blocks is searched block after block over the same rows, in one pass without a s
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +41,23 @@ class Phrases:
 
     def __init__(self, items: Iterable[tuple[str, str | None]], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        rows: dict[int, list[np.ndarray]] = defaultdict(list)
+        owners: dict[int, list[np.ndarray]] = defaultdict(list)
+        self.items: list[str | None] = []
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for i in range(max(min(len(ids), 1), len(ids) - width + 1)):
-                owners[tuple(ids[i : i + width])].add(item)
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                length = min(width, len(ids))
+                found = np.lib.stride_tricks.sliding_window_view(ids, length)
+                rows[length].append(found)
+                owners[length].append(np.full(len(found), len(self.items), np.int32))
+            self.items.append(item)
         self.groups = []
-        for length in sorted({len(w) for w in owners}):
-            same = [w for w in owners if len(w) == length]
-            self.groups.append((length, np.array(same, np.int64), [sorted(owners[w]) for w in same]))
+        for length in sorted(rows):
+            windows, which = np.unique(np.concatenate(rows.pop(length)), axis=0, return_inverse=True)
+            pairs = np.unique(np.c_[which.ravel(), np.concatenate(owners.pop(length))], axis=0)
+            ends = np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1))
+            self.groups.append((length, windows, pairs[:, 1], ends))
 
     def hits(self, texts: list[list[bytes]], sample: int) -> list[tuple[np.ndarray, set[str]]]:
         """For each document of the shard, which words lie in an occurrence, and the items that occur."""
@@ -58,7 +69,8 @@ class Phrases:
             ends.append(total)
         cover, found = np.zeros(total + 1, np.int64), [set() for _ in texts]
         index = FMIndex(np.concatenate(parts), len(self.vocabulary) + 1, sample)
-        for length, patterns, owners in self.groups:
+        for length, windows, owners, bounds in self.groups:
+            patterns = windows.astype(np.int64)
             low, high = index.search(patterns)
             counts = high - low
             which = np.repeat(np.arange(len(patterns)), counts)
@@ -68,9 +80,17 @@ class Phrases:
             np.add.at(cover, at + length, -1)
             docs = np.searchsorted(ends, at, side="right")
             for pair in np.unique(docs * len(patterns) + which):
-                found[pair // len(patterns)].update(owners[pair % len(patterns)])
+                k = pair % len(patterns)
+                found[pair // len(patterns)].update(owners[bounds[k] : bounds[k + 1]].tolist())
         hit = np.cumsum(cover)[:-1] > 0
-        return [(x[:-1], items) for x, items in zip(np.split(hit, ends[:-1]), found, strict=True)]
+        named = [{self.items[i] for i in some} - {None} for some in found]
+        return [(x[:-1], items) for x, items in zip(np.split(hit, ends[:-1]), named, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def phrases_of(block: bytes, width: int) -> Phrases:
+    """A worker's phrases of one block of items, kept over its tasks."""
+    return Phrases(json.loads(zlib.decompress(block)), width)
 
 
 def spans_of(hit: np.ndarray) -> list[dict]:
@@ -80,9 +100,10 @@ def spans_of(hit: np.ndarray) -> list[dict]:
 
 
 def scanned(
-    batches: Iterable[pa.RecordBatch], text_col: str, phrases: Phrases, shard_words: int, sample: int
+    batches: Iterable[pa.RecordBatch], text_col: str, block: bytes, width: int, shard_words: int, sample: int
 ) -> Iterator[pa.RecordBatch]:
     """The rows with what this block of phrases adds to what earlier blocks found."""
+    phrases = phrases_of(block, width)
     for batch in batches:
         names = batch.schema.names
         texts = batch.column(names.index(text_col)).to_pylist()
@@ -134,9 +155,9 @@ def without_spans(batches: Iterable[pa.RecordBatch], text_col: str) -> Iterator[
 
 
 def removing(
-    batches: Iterable[pa.RecordBatch], text_col: str, phrases: Phrases, shard_words: int, sample: int
+    batches: Iterable[pa.RecordBatch], text_col: str, block: bytes, width: int, shard_words: int, sample: int
 ) -> Iterator[pa.RecordBatch]:
-    yield from without_spans(scanned(batches, text_col, phrases, shard_words, sample), text_col)
+    yield from without_spans(scanned(batches, text_col, block, width, shard_words, sample), text_col)
 
 
 def scan(
@@ -148,31 +169,32 @@ def scan(
     width: int = 10,
     shard_words: int = 1 << 19,
     sample: int = 8,
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 4 << 20,
     remove: bool = False,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``hit_items`` and ``hit_words`` (spans of word numbers).
 
     A phrase is ``width`` consecutive words of an item; an item of fewer words is one
-    phrase, an item without words none. A null text has no words and no hits; a null
-    item id takes no part. Repeated rows are each scanned; an item that repeats counts
-    once; columns of ``docs`` with the names added here are replaced. ``block_bytes``
-    bounds the benchmark text that is sent to the tasks at once; larger benchmarks take
-    several blocks, all of which are searched. With ``remove`` the hit spans are cut out
+    phrase, an item without words none. A null text has no words and no hits; the
+    windows of an item with a null id hit like any other, but the item is not listed. Repeated rows are each scanned; an item that repeats counts
+    once; columns of ``docs`` with the names added here are replaced. The
+    benchmark is small beside the documents; its items go to the tasks as compressed text in
+    blocks of ``block_bytes``, which workers turn into phrases. All blocks are searched, one
+    after the other, and the plan holds the compressed text of all of them. With ``remove`` the hit spans are cut out
     of the texts, in the same pass; other texts are unchanged.
     """
     items = benchmark.select(
         F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("words")
-    ).where("item is not null and words is not null")
+    ).where("words is not null")
     total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     n_blocks = -(-total // block_bytes) or 1
     found = docs.drop(*ADDED)
     kept = [T.StructField(f.name, f.dataType, True) for f in found.schema]
     added = [T.StructField(c, T._parse_datatype_string(kind), True) for c, kind in ADDED.items()]
     for k in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == k).collect()
-        phrases = Phrases([(r.item, r.words) for r in block], width)
+        rows = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == k).distinct().collect()
+        block = zlib.compress(json.dumps([(r.item, r["words"]) for r in rows]).encode())
         work = removing if remove and k == n_blocks - 1 else scanned
-        run = lambda it, f=work, p=phrases: giving_back(f, it, text_col, p, shard_words, sample)
+        run = lambda it, f=work, b=block: giving_back(f, it, text_col, b, width, shard_words, sample)
         found = found.mapInArrow(run, T.StructType(kept + added))
     return found

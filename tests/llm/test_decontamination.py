@@ -31,12 +31,12 @@ def brute(docs, items, width=10):
         words, hit, names = dc.words_of(text), set(), set()
         for item, phrase in items:
             w = dc.words_of(phrase)
-            for i in range(max(min(len(w), 1), len(w) - width + 1)) if item is not None else ():
+            for i in range(max(min(len(w), 1), len(w) - width + 1)):
                 p = w[i : i + width]
                 for j in range(len(words) - len(p) + 1):
                     if words[j : j + len(p)] == p:
                         hit |= set(range(j, j + len(p)))
-                        names.add(str(item))
+                        names |= set() if item is None else {str(item)}
         out.append((doc_id, len(words), len(hit), sorted(names)))
     return out
 
