@@ -22,7 +22,7 @@ from noteloom.llm.tables import giving_back, tokenizer_file
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
-#: Longer words are cut, so that products stay within double precision.
+#: Products over words of up to this length stay within double precision; longer ones are summed as logarithms.
 LONGEST = 40
 UNKNOWN = 1e-7
 #: Pieces and spans of words are compared by polynomials of their characters modulo 2**64.
@@ -31,10 +31,7 @@ MARKS = ".,;:!?$%&*#|\"'()"
 
 
 def words_of(chunk: str) -> list[str]:
-    out = []
-    for word in LETTERS.findall(chunk):
-        out += [MARK + word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
-    return out
+    return [MARK + word for word in LETTERS.findall(chunk)]
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -77,7 +74,8 @@ class Lattice:
         """
         groups: dict[int, list[int]] = defaultdict(list)
         for k, w in enumerate(words):
-            groups[len(w)].append(k)
+            if len(w) <= LONGEST + 1:
+                groups[len(w)].append(k)
         for length, rows in groups.items():
             codes = np.array([words[k] for k in rows], f"<U{length}").view(np.uint32).reshape(-1, length).astype(np.uint64) + np.uint64(1)
             spans: list[Span] = []
@@ -98,6 +96,39 @@ class Lattice:
         out = np.zeros((len(words), table.shape[1]))
         for rows, length, spans in self.by_length(words):
             out[rows] = np.log(self.alphas(len(rows), length, spans, table)[length])
+        for k in self.long(words):
+            out[k] = self.log_sums(len(words[k]), self.pieces_in(words[k]), np.log(table))[-1]
+        return out
+
+    @staticmethod
+    def long(words: list[str]) -> list[int]:
+        return [k for k, w in enumerate(words) if len(w) > LONGEST + 1]
+
+    def pieces_in(self, word: str) -> np.ndarray:
+        """``start, end, piece`` of every piece in one word, sorted by end."""
+        codes = np.array([word]).view(np.uint32).astype(np.uint64) + np.uint64(1)
+        keys, out = np.zeros(len(codes), np.uint64), []
+        for size in range(1, min(len(codes), self.most) + 1):
+            keys = keys[: len(codes) - size + 1] * np.uint64(BASE) + codes[size - 1 :]
+            at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+            hit = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+            starts = np.arange(len(keys)) if size == 1 else np.flatnonzero(hit)
+            ids = np.where(hit, self.numbers[at] if len(self.keys) else 0, self.unknown)[starts]
+            out.append(np.c_[starts, starts + size, ids])
+        out = np.concatenate(out)
+        return out[np.argsort(out[:, 1], kind="stable")]
+
+    @staticmethod
+    def log_sums(length: int, spans: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums over all segmentations up to each place of one word; spans are sorted by end."""
+        out = np.full((length + 1, logs.shape[1]), -np.inf)
+        out[0] = 0
+        bounds = np.searchsorted(spans[:, 1], np.arange(length + 2))
+        for end in range(1, length + 1):
+            some = spans[bounds[end] : bounds[end + 1]]
+            ways = out[some[:, 0]] + logs[some[:, 2]]
+            top = ways.max(axis=0)
+            out[end] = top + np.log(np.exp(ways - top).sum(axis=0))
         return out
 
     def alphas(self, n: int, length: int, spans: list[Span], table: np.ndarray) -> np.ndarray:
@@ -119,6 +150,13 @@ class Lattice:
             scale = counts[rows] / alpha[length]
             for start, end, some, ids in spans:
                 np.add.at(total, ids, alpha[start][some] * table[ids] * beta[end][some] * scale[some])
+        for k in self.long(words):
+            spans, logs, length = self.pieces_in(words[k]), np.log(table), len(words[k])
+            alpha = self.log_sums(length, spans, logs)
+            turned = np.c_[length - spans[:, 1], length - spans[:, 0], spans[:, 2]]
+            beta = self.log_sums(length, turned[np.argsort(turned[:, 1], kind="stable")], logs)[::-1]
+            share = np.exp(alpha[spans[:, 0]] + logs[spans[:, 2]] + beta[spans[:, 1]] - alpha[length])
+            np.add.at(total, spans[:, 2], share * counts[k])
         return total
 
 
@@ -162,7 +200,7 @@ class Scorer:
         """Rows for new chunks: one for each bare word, shared by its forms with marks, one for each other chunk."""
         bare = {c: c if c.isalpha() else c.strip(MARKS) for c in chunks}
         fresh = sorted({b for b in bare.values() if b and b not in self.number})
-        parts = [[MARK + b] if b.isalpha() and len(b) <= LONGEST else words_of(b) for b in fresh]
+        parts = [[MARK + b] if b.isalpha() else words_of(b) for b in fresh]
         words = sorted({w for p in parts for w in p})
         found = dict(zip(words, self.lattice.forward(words, self.model.table), strict=True))
         while self.n_rows + len(fresh) > len(self.scores):
@@ -191,7 +229,7 @@ class Scorer:
                     yield "und", 0.0
                     continue
                 score = self.scores[rows].sum(axis=0)
-                shares = np.exp(score - score.max())
+                shares = np.exp((score - score.max()) / np.count_nonzero(rows))
                 best = int(score.argmax())
                 yield self.model.languages[best], float(shares[best] / shares.sum())
 
@@ -208,18 +246,20 @@ def predicted(batches: Iterable[pa.RecordBatch], model: Model, text_col: str) ->
 
 def fit(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    docs_per_language: int = 400, vocabulary_path: str | None = None,
+    docs_per_language: int = 400, most_chars: int = 1 << 20, vocabulary_path: str | None = None,
 ) -> Model:
     """A model from the whole texts of at most ``docs_per_language`` documents of each non-null language.
 
-    They are the ones whose ids have the least hashes; the driver sees their word counts.
+    They are the ones whose ids have the least hashes, of texts of at most ``most_chars``
+    characters; the driver sees their word counts. With these two bounds it holds no more than
+    ``docs_per_language * most_chars`` characters a language, whatever the table.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(F.col(text_col).cast("string")) <= most_chars)).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
     named = rows.select("id", "lang", (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / (1 << 40)).alias("draw"))
     sizes = named.groupBy("lang").agg(F.count("*").alias("n"))
-    likely = named.join(sizes, "lang").where(F.col("draw") * F.col("n") <= 2 * docs_per_language)  # few rows a language
+    likely = named.join(F.broadcast(sizes), "lang").where(F.col("draw") * F.col("n") <= 2 * docs_per_language)  # few rows a language; sizes has one
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
     chosen = likely.withColumn("place", place).where(F.col("place") <= docs_per_language).select("id", "lang").distinct()
     some = rows.join(F.broadcast(chosen), ["id", "lang"])
@@ -229,7 +269,10 @@ def fit(
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the language's share of the probability of the whole text.
+    """``docs`` with ``lang_pred`` and ``score``, the language's share of the probability of a typical word.
+
+    All words decide the language; the score takes their mean log probability, so it tells
+    close calls from clear ones also in long texts.
 
     A null text or one without letters, and every text if nothing was learned, is ``und``
     with score 0. Ties go to the language that sorts first. Other columns are kept, those
