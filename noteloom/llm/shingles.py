@@ -48,12 +48,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(np.cumsum(lengths), starts, side="right")
 
 
-def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | bytes | None], width: int) -> list[np.ndarray]:
     """For each text the sorted distinct shingles; with fewer words the whole text is one, without words none.
 
     Words are what stands between ASCII white space once A-Z are lowered.
     """
-    raw = [(t or "").encode("utf-8", "replace").lower() for t in texts]
+    raw = [(t if isinstance(t, bytes) else (t or "").encode("utf-8", "replace")).lower() for t in texts]
     out: list[np.ndarray] = []
     at = 0
     while at < len(raw):  # blocks of a few MB, or one longer text

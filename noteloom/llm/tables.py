@@ -24,6 +24,24 @@ def tokenizer_file(name: str, path: str | None = None) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Arrow kinds of the types that the schemas of this subpackage name.
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def batches_of(schema: str, *columns) -> pa.RecordBatch:
+    """A record batch of plain columns and arrays of them, with the names and types of ``schema``."""
+    names, kinds = zip(*[part.split() for part in schema.split(", ")], strict=True)
+    types = [pa.list_(ARROW[k[6:-1]]) if k.startswith("array") else ARROW[k] for k in kinds]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bound the bytes of an Arrow batch as well as its rows, unless the session has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, str(2**31 - 1), f"{2**31 - 1}b"):
+        spark.conf.set(name, str(most))
+
+
 def giving_back(run: Callable[..., Iterator[pa.RecordBatch]], batches: Iterable[pa.RecordBatch], *args) -> Iterator[pa.RecordBatch]:
     """``run(batches, *args)``, and then hand what it freed back to the system.
 

@@ -62,17 +62,47 @@ def test_sets_match_the_words():
 def test_links_in_a_group(seed):
     rows = [(i, t) for i, t in corpus(seed) if i is not None and exact(t)]
     rows = list({i: (i, t) for i, t in rows}.values())
-    common = np.unique(np.concatenate(shingle_sets([t for _, t in rows], 3)))[seed * 3 : seed * 3 + 40]
-    got = dict(jj.linked([i for i, _ in rows], shingle_sets([t for _, t in rows], 3), jj.Order(common, 90)))
+    got = dict(jj.linked([i for i, _ in rows], shingle_sets([t for _, t in rows], 3), 90))
     assert {(i, got.get(i, i)) for i, _ in rows} == {(i, c) for i, _, c in brute(rows)}
 
 
-@pytest.mark.parametrize("limits", [{}, {"common_least": 4, "group_docs": 3}])
+@pytest.mark.parametrize("limits", [{}, {"group_docs": 3}, {"group_docs": 1, "width": 2, "percent": 60}])
 def test_components_equal_brute_force(spark, limits):
     rows = corpus(7)
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n int")
     got = sorted((tuple(r) for r in jj.jaccard_components(docs, **limits).collect()), key=str)
-    assert got == brute(rows)
+    assert got == brute(rows, limits.get("width", 3), limits.get("percent", 90))
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b, c = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, ""), (8, c), (2, c), (9, c), (9, c), (9, None), (4, None)]
+    got = {(r.doc_id, r.component_id) for r in jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 3), (5, 3), (7, 3), (8, 2), (2, 2), (9, 2), (4, 4)}
+
+
+def test_large_blocks_meet_in_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(jj, "HUBS", 2)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for k in range(30):
+            copy = list(base)
+            for _ in range(rng.randrange(9)):
+                copy[rng.randrange(60)] = f"x{rng.randrange(50)}"
+            rows.append((family * 100 + k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jj.jaccard_components(docs, width=1, percent=80, group_docs=7).collect()), key=str)
+    assert got == brute(rows, 1, 80)
+
+
+def test_packs_of_one_text_each(spark, monkeypatch):
+    monkeypatch.setattr(jj, "PACK_BYTES", 1)
+    rows = corpus(11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jj.jaccard_components(docs, width=3, percent=80).collect()), key=str)
+    assert got == brute(rows, 3, 80)
 
 
 def test_empty_table(spark):
