@@ -26,11 +26,13 @@ def build_session(app: str = "noteloom", cpus: int | None = None) -> SparkSessio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in ``spark.checkpoint.dir``; only where it is unset (tests) take a local one."""
+    """Use the folder in ``spark.checkpoint.dir``; where it is unset only a local session (tests) gets a folder of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
