@@ -16,8 +16,8 @@ LOOKALIKE = {
     "A": "А", "B": "В", "C": "С", "E": "Е", "H": "Н", "K": "К", "M": "М", "O": "О", "P": "Р", "T": "Т", "X": "Х",
 }
 BLOCKS = r"^ {0,3}```.*?(?:^ {0,3}```[^\n]*$|\Z)|^[ \t]*\$\$[ \t]*$.*?(?:^[ \t]*\$\$[ \t]*$|\Z)"
-SPANS = r"`[^`\n]+`|\[\[[^\]\n]*\]\]|\[[^\]\n]*\]\([^)\n]*\)|https?://\S+|\$[^$\n]+\$"
-LINES = r"^[ \t]*(?:#{1,6}[ \t]|\||>)[^\n]*$"
+SPANS = r"`[^`\n]*`|\$\$[^$\n]*\$\$|\$[^$\n]+\$|\[\[[^\]\n]*\]\]|\[[^\]\n]*\]\([^)\n]*\)|https?://\S+|www\.\S+"
+LINES = r"^(?: {0,3}#{1,6}(?:[ \t]|$)|[ \t]*\||[ \t]*>[ \t]*\[!)[^\n]*$"
 KEPT = re.compile(f"(?P<kept>{BLOCKS}|{SPANS})|[A-Za-zА-Яа-яЁё]+|‑", re.M | re.S)
 CLOSED = re.compile(f"{BLOCKS}|{LINES}|{SPANS}", re.M | re.S)
 
@@ -80,17 +80,51 @@ def linked(text: Column, titles: Column) -> Column:
     return run(text, titles)
 
 
-def chosen_places(text: str) -> list[int] | None:
+def content_blocks_of(text: str, least: int, placeholder: str) -> int:
+    """Top-level paragraphs of ``least`` characters, lists, tables and code blocks; quotes and headings don't count.
+
+    Lines tell the blocks: a list goes on over blank lines while its next line is an item or
+    indented, and a quote to the next blank line.
+    """
+    count, kind, held = 0, "", []
+    for line in [*text.splitlines(), ""]:
+        bare = line.strip()
+        if kind == "code":
+            kind = "" if re.match(r" {0,3}```", line) else kind
+            continue
+        item = re.match(r" {0,3}(?:[-*+]|\d{1,9}[.)])(?:\s|$)", line)
+        if kind == "list" and (not bare or item or line[0].isspace()):
+            continue
+        kind = "" if kind == "list" or (kind in ("quote", "table") and not bare) else kind
+        fence, head = re.match(r" {0,3}```", line), re.match(r" {0,3}#{1,6}(?:\s|$)", line)
+        if kind == "" and (not bare or fence or head or item or bare[0] in ">|"):
+            prose = " ".join(held)
+            count += len(prose) >= least and prose != placeholder
+            held = []
+            kind = "code" if fence else "list" if item else "quote" if bare.startswith(">") else "table" if bare.startswith("|") else ""
+            count += kind in ("code", "list", "table")
+        elif kind == "":
+            held.append(bare)
+    return count
+
+
+def content_blocks(text: Column, placeholder: str, least: int = 40) -> Column:
+    return mapped(lambda x: content_blocks_of(x, least, placeholder), "int")(text)
+
+
+def chosen_places(text: str, count: int) -> list[int] | None:
     found: set[int] = set()
     for part in text.split(","):
         m = re.fullmatch(r"\s*([1-9]\d*)(?:\s*-\s*([1-9]\d*))?\s*", part)
         if not m:
             return None
         ends = sorted((int(m[1]), int(m[2] or m[1])))
+        if ends[1] > count:
+            return None
         found.update(range(ends[0] - 1, ends[1]))
     return sorted(found, reverse=True)
 
 
-def selection(text: Column) -> Column:
-    """``1,3-5`` as places from 0, without repeats, highest first; null where a part is not a number or range."""
-    return mapped(chosen_places, "array<int>")(text)
+def selection(text: Column, count: int) -> Column:
+    """``1,3-5`` as places from 0, without repeats, highest first; null where a part is no number or range up to ``count``."""
+    return mapped(lambda x: chosen_places(x, count), "array<int>")(text)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noteloom.functions import markdown as md
+
 #: Fixed values.
 DASHES = "‐‑‒–—―"
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
@@ -22,7 +24,7 @@ def content_hash(raw: Column) -> Column:
     return F.substring(F.sha2(raw, 256), 1, 16)
 
 
-def cut_at_space(text: Column, limit: int) -> Column:
+def cut_at_space(text: Column, limit: int | Column) -> Column:
     """``text`` up to ``limit`` characters; a longer one ends at the last space before it, with an ellipsis."""
     head = F.regexp_replace(F.substring(text, 1, limit), " [^ ]*$", "")
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(head, F.lit("…")))
@@ -58,7 +60,7 @@ def normalized_title(title: Column) -> Column:
 
 def slug(title: Column) -> Column:
     """A file name: slashes to spaces, forbidden characters out, white space collapsed."""
-    plain = F.regexp_replace(strip(title), r"[\\/]+", " ")
+    plain = F.regexp_replace(strip(md.nfc(title)), r"[\\/]+", " ")
     plain = strip(F.regexp_replace(F.regexp_replace(plain, r'[\\/:*?"<>|#^\[\]]', ""), SPACE, " "))
     return F.when(plain == "", EMPTY_NAME).otherwise(plain)
 
@@ -81,12 +83,14 @@ def collapse_brackets(text: Column) -> Column:
     return F.regexp_replace(text, r"\[{2,}([^\[\]]+)\]{2,}", "[[$1]]")
 
 
-def strip_brackets(text: Column, depth: int = 4) -> Column:
-    """Outer brackets removed, ``depth`` times at most, with the white space they leave."""
-    out = strip(text)
-    for _ in range(depth):
-        out = strip(F.regexp_replace(out, r"(?s)^\[(.*)\]$", "$1"))
-    return out
+def strip_brackets(text: Column) -> Column:
+    """Outer brackets removed, however many, with the white space they leave."""
+    plain = strip(text)
+    left, right = F.regexp_extract(plain, r"(?U)^[\[\s]*", 0), F.regexp_extract(plain, r"(?U)[\]\s]*$", 0)
+    opened, closed = F.length(F.regexp_replace(left, r"(?U)\s", "")), F.length(F.regexp_replace(right, r"(?U)\s", ""))
+    pairs = F.least(opened, closed)
+    head, tail = F.concat(F.lit(r"^(?:\s*\[){"), pairs.cast("string"), F.lit("}")), F.concat(F.lit(r"(?:\]\s*){"), pairs.cast("string"), F.lit("}$"))
+    return strip(F.regexp_replace(F.regexp_replace(plain, head, F.lit("")), tail, F.lit("")))
 
 
 def snapped(raw: Column, titles: Column) -> Column:
@@ -147,6 +151,13 @@ def without_own_heading(text: Column, heading: Column) -> Column:
     return F.when((first != "") & same, F.regexp_replace(text, r"^\s*#{1,6}\s+[^\n]*(?:\n+|$)", "")).otherwise(text)
 
 
+def prepared_section(markdown: Column, heading: Column) -> tuple[Column, Column]:
+    """A section without look-alikes and its own heading, its headings within bounds; and whether its fences pair up."""
+    text = without_own_heading(md.glitch_free(strip(markdown)), heading)
+    text = strip(headings_within(text))
+    return text, fences(text) % 2 == 0
+
+
 def plain_text(markdown: Column, skip_quotes: bool = False) -> Column:
     """Without code, tables, headings and callout heads; links as their shown text."""
     lines = F.transform(F.split(F.regexp_replace(markdown, r"(?s)```.*?(```|$)", " "), LINE_END), strip)
@@ -185,7 +196,7 @@ def repaired_json(raw: Column) -> Column:
 
 
 def callout(kind: Column, title: Column, body: Column) -> Column:
-    lines = F.transform(F.split(body, LINE_END), lambda x: F.concat(F.lit("> "), x))
+    lines = F.transform(F.split(body, LINE_END), lambda x: F.when(strip(x) == "", ">").otherwise(F.concat(F.lit("> "), x)))
     return F.concat(F.lit("> [!"), kind, F.lit("] "), title, F.lit("\n"), F.array_join(lines, "\n"))
 
 

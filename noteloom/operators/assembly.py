@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import text as tx
 
-PLACEHOLDER = "_Раздел не заполнен._"
+#: Fixed values.
+PLACEHOLDER = "_Раздел не удалось сгенерировать автоматически — заполните его вручную._"
+HUMANITIES = "> [!warning] Проверьте факты\n> Даты, цитаты и имена в этой заметке сгенерированы без источников — сверьте их перед использованием."
+HUMANITIES_UPDATE = (
+    "> [!warning] Проверьте факты\n> Даты, цитаты и имена в добавленных ниже разделах сгенерированы без источников — сверьте их перед использованием."
+)
 
 
 def first_responses(responses: DataFrame) -> DataFrame:

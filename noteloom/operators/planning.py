@@ -51,3 +51,23 @@ def link_names(drafts: DataFrame) -> DataFrame:
 def totals(subpoints: DataFrame) -> DataFrame:
     """Notes and subpoints of each plan."""
     return subpoints.groupBy("task_id").agg(F.count_distinct("note_id").alias("n_notes"), F.count("*").alias("n_subpoints"))
+
+
+def moved(plans: DataFrame, domain: str) -> DataFrame:
+    """``plans (kinds array)`` under another domain: kinds normalized, ``resets`` counts those that changed."""
+    kinds = F.transform("kinds", lambda k: normalized_kind(F.lit(domain), k))
+    changed = F.size(F.filter(F.zip_with("kinds", kinds, lambda a, b: a != b), lambda x: x))
+    return plans.select(*[c for c in plans.columns if c != "kinds"], kinds.alias("kinds"), changed.cast("long").alias("resets"))
+
+
+def renamed(items: Column, place: int, name: Column) -> Column:
+    """A plan's items with another one at a place."""
+    return F.transform(items, lambda x, i: F.when(i == place, name).otherwise(x))
+
+
+def removed(items: Column, place: int) -> Column:
+    return F.filter(items, lambda x, i: i != place)
+
+
+def added(items: Column, item: Column) -> Column:
+    return F.array_append(items, item)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteloom.session import cut
+
 TOKEN_SPLIT = r"(?U)\s+"
 
 
@@ -13,25 +19,61 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.translate(text, "/-", "  ")), TOKEN_SPLIT), lambda x: x != "")
 
 
-def bm25(notes: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """``query_id, path, score`` of every note that shares a term with a query.
+def bm25(notes: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """``query_id, path, score, rank``: the ``k`` best notes of each query, also those without a common term.
 
-    Only the terms of the queries are joined with the notes' terms; document counts and
-    the floor for common terms are taken over the whole vocabulary.
+    Document counts and the floor for common terms are taken over the whole vocabulary, which
+    is written once; term counts only over the terms of the queries. Notes without any of a
+    query's terms score 0 and fill its list in path order: ``2 k`` paths are enough for that.
     """
-    tokens = notes.select("path", F.explode(terms(F.col("text"))).alias("term"))
-    tf = tokens.groupBy("path", "term").agg(F.count("*").alias("tf"))
-    sizes = notes.select("path", F.size(terms(F.col("text"))).alias("dl"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    sized = notes.select("path", terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    df = cut(sized.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
     raw = df.withColumn("raw", F.log(F.lit(float(stats.n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     used = raw.join(asked.select("term").distinct(), "term", "left_semi")
     idf = used.select("term", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
-    hits = tf.join(idf, "term").join(asked, "term").join(sizes, "path")
+    tf = sized.select("path", "dl", F.explode("t").alias("term")).join(idf, "term").groupBy("path", "dl", "term", "idf").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (stats.avgdl or 1.0)))
-    return hits.groupBy("query_id", "path").agg(F.round(F.sum(part), 6).alias("score"))
+    hits = tf.join(asked, "term").groupBy("query_id", "path").agg(F.round(F.sum(part), 6).alias("score"))
+    first = F.array(*[F.lit(r.path) for r in notes.select("path").orderBy("path").limit(2 * k).collect()])
+    none = queries.select("query_id", F.explode(first.cast("array<string>")).alias("path"), F.lit(0.0).alias("score"))
+    return top(hits.unionByName(none).groupBy("query_id", "path").agg(F.max("score").alias("score")), k)
+
+
+def scored_blocks(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The ``k`` nearest of a part of the vectors for each query of a block."""
+    for f in frames:
+        out = []
+        for asked, part in zip(f["asked"], f["part"], strict=True):
+            ids, rows = np.array([r["vec_id"] for r in part]), np.array([r["v"] for r in part], np.float64)
+            length = np.linalg.norm(rows, axis=1)
+            for q in asked:
+                v = np.array(q["v"], np.float64)
+                norm = length * np.linalg.norm(v)
+                score = np.round(np.divide(rows @ v, norm, out=np.zeros(len(rows)), where=norm > 0), 6)
+                score[ids == q["vec_id"]] = -np.inf
+                for i in np.lexsort((ids, -score))[:k].tolist():
+                    if score[i] > -np.inf:
+                        out.append((q["vec_id"], ids[i], score[i]))
+        yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 512, part: int = 4096) -> DataFrame:
+    """``query_id, vec_id, score, rank``: the ``k`` rows of largest cosine for each query, over all rows but its own.
+
+    Both are ``vec_id, v`` with vectors of one length. Blocks of queries meet parts of the
+    vectors, each pair of them in a row of its own, and only the best of each part go on.
+    """
+    n_blocks, n_parts = -(-queries.count() // block) or 1, -(-vectors.count() // part) or 1
+    row = F.collect_list(F.struct("vec_id", "v"))
+    number = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block")
+    asked = queries.groupBy(number).agg(row.alias("asked"))
+    parts = vectors.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_parts)).alias("number")).agg(row.alias("part"))
+    met = parts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).join(asked, "block")
+    found = met.select("asked", "part").mapInPandas(lambda it: scored_blocks(it, k), "query_id long, vec_id long, score double")
+    return top(found, k, tie="vec_id")
 
 
 def top(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "path") -> DataFrame:

@@ -2,38 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noteloom.functions import markdown as md
 from noteloom.functions import text as tx
+from noteloom.operators.assembly import PLACEHOLDER
 
-ERRORS = ("empty_body", "unbalanced_code_fence", "create_path_exists", "update_path_missing", "duplicate_path_in_batch", "delete_not_allowed")
-
+ERRORS = ("empty_body", "unbalanced_code_fence", "create_path_exists", "update_path_missing", "duplicate_path_in_batch", "delete_not_allowed", "yaml_unsupported_type", "empty_title")
 
-def content_blocks(text: Column) -> Column:
-    """Paragraphs, lists, tables and code blocks between blank lines; headings and quotes do not count.
 
-    A line-based count: nested Markdown is not parsed.
-    """
-    plain = F.regexp_replace(text, r"(?s)```.*?(```|$)", "\n\ncode\n\n")
-    parts = F.transform(F.split(plain, r"\n[ \t]*\n"), tx.strip)
-    return F.size(F.filter(parts, lambda p: (p != "") & ~p.startswith(">") & ~p.rlike(r"^#{1,6}\s[^\n]*$")))
+#: What the language check doesn't read, taken out in this order: code, formulas and addresses.
+NOT_PROSE = (r"(?s)```.*?```", r"(?s)\$\$.*?\$\$", r"\$[^$\n]+\$", r"`[^`\n]+`", r"https?://\S+")
 
 
 def body_codes(body: Column, is_new: Column) -> Column:
     """The codes of all rules that a body breaks; an empty body is told alone."""
     text = F.coalesce(body, F.lit(""))
-    letters = F.regexp_count(text, F.lit("[а-яА-ЯёЁa-zA-Z]"))
+    prose = reduce(lambda t, form: F.regexp_replace(t, form, " "), NOT_PROSE, text)
+    letters = F.regexp_count(prose, F.lit("[а-яА-ЯёЁa-zA-Z]"))
     rules = F.array_compact(
         F.array(
             F.when(tx.fences(text) % 2 == 1, "unbalanced_code_fence"),
-            F.when(F.length(text) < 40, "very_short_note").when(is_new & (content_blocks(text) < 3), "note_too_short_structural"),
-            F.when((letters >= 200) & (tx.cyrillic_share(text) < 0.3), "note_language_mismatch"),
+            F.when(F.length(text) < 40, "very_short_note").when(is_new & (md.content_blocks(text, PLACEHOLDER) < 3), "note_too_short_structural"),
+            F.when((letters >= 200) & (tx.cyrillic_share(prose) < 0.3), "note_language_mismatch"),
         )
     )
     return F.when(tx.strip(text) == "", F.array(F.lit("empty_body"))).otherwise(rules)
 
 
+def report(issues: DataFrame, key: str = "task_id") -> DataFrame:
+    """``errors, warnings, ok`` of each task."""
+    bad = F.col("code").isin(*ERRORS)
+    out = issues.groupBy(key).agg(F.count_if(bad).alias("errors"), F.count_if(~bad).alias("warnings"))
+    return out.withColumn("ok", F.col("errors") == 0)
+
+
+def front_matter_codes(title: Column, kinds: Column) -> Column:
+    """Codes of a draft's front matter from the kinds of its values (list elements too) and of its title."""
+    odd = F.exists(kinds, lambda k: ~k.isin("string", "number", "boolean", "null"))
+    return F.array_compact(F.array(F.when(odd, "yaml_unsupported_type"), F.when(tx.strip(title) == "", "empty_title")))
+
+
+def delete_codes(deletes: DataFrame, allowed: bool, key: str = "task_id") -> DataFrame:
+    """One error for each task that deletes without being allowed to."""
+    return deletes.select(key).distinct().where(F.lit(not allowed)).withColumn("code", F.lit("delete_not_allowed"))
+
+
 def summary(issues: DataFrame) -> DataFrame:
     """``code, level, n`` for each code."""
     level = F.when(F.col("code").isin(*ERRORS), "error").otherwise("warning")

@@ -140,13 +140,16 @@ def outlinks(spark, d):
 
 
 def ranked(spark, d, k=5):
-    """Notes against the benchmark's items as queries: term scores of whole bodies."""
-    n = vv.notes(spark, d).select("path", F.concat_ws(" ", "title", "body", F.array_join("tags", " ")).alias("text"))
+    """Notes against the benchmark's items as queries: term scores of titles, summaries and tags."""
+    n = vv.notes(spark, d).select("path", F.concat_ws(" ", "title", tx.summary(F.col("body")), F.array_join("tags", " ")).alias("text"))
     asked = vv.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.top(retrieval.bm25(n, asked), k)
+    return retrieval.bm25(n, asked, k)
 
 
-BM25 = f"""WITH {NOTES}, txt AS (SELECT path, title || ' ' || body || ' ' || array_to_string(tags, ' ') AS t FROM notes),
+SUMMARY = """fl AS (SELECT *, array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)),
+    lambda x: x <> '' AND NOT starts_with(x, '#')), ' ') AS flat FROM notes),
+  sm AS (SELECT *, CASE WHEN length(flat) <= 400 THEN flat ELSE regexp_replace(substr(flat, 1, 400), ' [^ ]*$', '') || '…' END AS summary FROM fl)"""
+BM25 = f"""WITH {NOTES}, {SUMMARY}, txt AS (SELECT path, title || ' ' || summary || ' ' || array_to_string(tags, ' ') AS t FROM sm),
   tok AS (SELECT path, unnest(regexp_split_to_array(lower(translate(t, '/-', '  ')), '\\s+')) AS term FROM txt),
   tf AS (SELECT path, term, count(*) AS tf FROM tok WHERE term <> '' GROUP BY 1, 2),
   dl AS (SELECT path, sum(tf)::DOUBLE AS dl FROM tf GROUP BY 1), st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl),
@@ -154,9 +157,10 @@ BM25 = f"""WITH {NOTES}, txt AS (SELECT path, title || ' ' || body || ' ' || arr
   m AS (SELECT avg(raw) AS mean FROM df),
   q AS (SELECT item_id AS query_id, unnest(regexp_split_to_array(lower(translate(text, '/-', '  ')), '\\s+')) AS term FROM benchmark),
   qt AS (SELECT query_id, term, count(*) AS times FROM q WHERE term <> '' GROUP BY 1, 2),
-  s AS (SELECT query_id, path, round(sum(times * CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END * tf * 2.5::DOUBLE
+  h AS (SELECT query_id, path, round(sum(times * CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END * tf * 2.5::DOUBLE
     / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
     FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (path), st, m GROUP BY 1, 2),
+  s AS (SELECT a.query_id, a.path, coalesce(h.score, 0) AS score FROM (SELECT item_id AS query_id, path FROM benchmark, notes) a LEFT JOIN h USING (query_id, path)),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM s)"""
 
 
@@ -165,23 +169,29 @@ def bm25_topk(spark, d):
     return ranked(spark, d)
 
 
+@query(f"""{BM25.replace("benchmark", "asked").replace("WITH ", "WITH asked AS (SELECT conv_id AS item_id, text FROM conversations WHERE turn = 0 AND conv_id % 10 = 0), ", 1)}
+  SELECT query_id, path, score, rank FROM r WHERE rank <= 3""")
+def bm25_foreign_queries(spark, d):
+    """First turns of conversations as queries: many share no term with any note and get the first paths."""
+    n = vv.notes(spark, d).select("path", F.concat_ws(" ", "title", tx.summary(F.col("body")), F.array_join("tags", " ")).alias("text"))
+    asked = vv.read(spark, d, "conversations").where("turn = 0 and conv_id % 10 = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.bm25(n, asked, 3)
+
+
 @query("""SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+  FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
   QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) <= 5""")
 def cosine_topk(spark, d):
-    """The rerank step: a query's candidates are the vectors that share its label."""
-    e = vv.read(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    near = q.join(e, "label").where("query_id <> vec_id")
-    scored = near.select("query_id", "vec_id", F.round(retrieval.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return retrieval.top(scored, 5, tie="vec_id").drop("rank")
+    """The rerank step over all rows."""
+    e = vv.read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return retrieval.nearest(e, e.where("vec_id % 50 = 0"), 5).drop("rank")
 
 
 @query(f"""{BM25}, vec AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-  c AS (SELECT query_id, r.path, score AS bm, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN list_cosine_similarity(a.v, b.v) END AS cos
+  c AS (SELECT query_id, r.path, r.score AS bm, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN list_cosine_similarity(a.v, b.v) END AS cos
     FROM r JOIN notes n ON n.path = r.path LEFT JOIN vec a ON a.vec_id = query_id LEFT JOIN vec b ON b.vec_id = n.doc_id WHERE rank <= 15),
-  h AS (SELECT query_id, path, round(CASE WHEN cos IS NULL THEN bm ELSE 0.4::DOUBLE * least(bm / 10, 1) + 0.6::DOUBLE * cos END, 4) AS score FROM c)
-  SELECT query_id, path, score FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) <= 5""")
+  hy AS (SELECT query_id, path, round(CASE WHEN cos IS NULL THEN bm ELSE 0.4::DOUBLE * least(bm / 10, 1) + 0.6::DOUBLE * cos END, 4) AS score FROM c)
+  SELECT query_id, path, score FROM hy QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) <= 5""")
 def hybrid_topk(spark, d):
     first = ranked(spark, d, 15).withColumn("doc_id", F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long"))
     e = vv.read(spark, d, "embeddings")
@@ -193,15 +203,18 @@ def hybrid_topk(spark, d):
     return retrieval.top(scored, 5).drop("rank")
 
 
-@query("""WITH b AS (SELECT q.vec_id AS query_id, round(max(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) AS score, any_value(q.label) AS label
-  FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1),
-  k AS (SELECT *, CASE WHEN score >= 0.85::DOUBLE THEN 'duplicate' WHEN score >= 0.55::DOUBLE THEN 'ambiguous' ELSE 'distinct' END AS class FROM b)
-  SELECT query_id, score, class, CASE WHEN class = 'duplicate' OR (class = 'ambiguous' AND label % 2 = 0) THEN 'update' ELSE 'create' END AS action FROM k""")
+@query("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, q.label
+    FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+  b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) = 1),
+  k AS (SELECT *, CASE WHEN score >= 0.85::DOUBLE THEN 'duplicate' WHEN score >= 0.55::DOUBLE THEN 'ambiguous' ELSE 'distinct' END AS class FROM b),
+  a AS (SELECT *, class = 'duplicate' OR (class = 'ambiguous' AND label % 2 = 0) AS up FROM k)
+  SELECT query_id, score, class, CASE WHEN up THEN 'update' ELSE 'create' END AS action, CASE WHEN up THEN vec_id END AS target_id FROM a""")
 def dedup_classify(spark, d):
-    best = cosine_topk(spark, d).groupBy("query_id").agg(F.max("score").alias("score"))
+    best = cosine_topk(spark, d).groupBy("query_id").agg(F.min_by(F.struct("score", "vec_id"), F.struct(-F.col("score"), "vec_id")).alias("b"))
     verdicts = vv.read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.when(F.col("label") % 2 == 0, "extend").otherwise("distinct").alias("verdict"))
-    kind = retrieval.similarity_class(F.col("score"))
-    return best.join(verdicts, "query_id").select("query_id", "score", kind.alias("class"), retrieval.resolution(kind, F.col("verdict")).alias("action"))
+    kind = retrieval.similarity_class(F.col("b.score"))
+    found = best.join(verdicts, "query_id").select("query_id", "b.score", kind.alias("class"), retrieval.resolution(kind, F.col("verdict")).alias("action"), "b.vec_id")
+    return found.select("query_id", "score", "class", "action", F.when(F.col("action") == "update", F.col("vec_id")).alias("target_id"))
 
 
 @query("""SELECT page_id, url FROM pages WHERE rtrim(url, '/') <> ''
@@ -312,7 +325,7 @@ def sections(spark, d):
 @query(r"""WITH s AS (SELECT conv_id AS note_id, turn AS ord, role || ' ' || turn AS heading,
     CASE WHEN turn % 4 <> 3 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE '' END AS t, turn % 4 = 3 OR turn % 3 = 1 AS chk FROM conversations)
   SELECT note_id, string_agg('## ' || heading || CASE WHEN chk THEN chr(10) || chr(10) || '> [!warning] Требует проверки' || chr(10)
-      || '> Детали этого раздела могут быть неточными.' ELSE '' END || chr(10) || chr(10) || CASE WHEN t = '' THEN '_Раздел не заполнен._' ELSE t END,
+      || '> Детали этого раздела могут быть неточными.' ELSE '' END || chr(10) || chr(10) || CASE WHEN t = '' THEN '_Раздел не удалось сгенерировать автоматически — заполните его вручную._' ELSE t END,
     chr(10) || chr(10) ORDER BY ord) AS body, count(*) FILTER (chk) AS n_unverified FROM s GROUP BY note_id""")
 def section_assembly(spark, d):
     return assembly.assembled(*sections(spark, d))
@@ -394,8 +407,8 @@ def validate_paths(spark, d):
     return links.check_paths(batch.select("draft_id", "path", "action"), n.where("doc_id % 2 = 0"))
 
 
-BODY = r"""bi AS (SELECT doc_id AS draft_id, body, regexp_replace(body, '[^a-zA-Z]', '', 'g') AS az,
-    len(list_filter(list_transform(regexp_split_to_array(body, '\n[ \t]*\n'), lambda x: trim(x, chr(32) || chr(10) || chr(9) || chr(13))), lambda x: x <> '' AND NOT starts_with(x, '>'))) AS blocks FROM notes),
+BODY = r"""bi AS (SELECT doc_id AS draft_id, body, regexp_replace(regexp_replace(regexp_replace(body, '\$\$.*?\$\$', ' ', 'gs'), '\$[^$\n]+\$', ' ', 'g'), '[^a-zA-Z]', '', 'g') AS az,
+    len(list_filter(list_transform(regexp_split_to_array(body, '\n[ \t]*\n'), lambda x: trim(x, chr(32) || chr(10) || chr(9) || chr(13))), lambda x: length(x) >= 40 AND NOT starts_with(x, '>'))) AS blocks FROM notes),
   bc AS (SELECT draft_id, 'empty_body' AS code FROM bi WHERE trim(body, chr(32) || chr(10) || chr(9) || chr(13)) = ''
     UNION ALL SELECT draft_id, 'very_short_note' FROM bi WHERE length(body) < 40 AND trim(body, chr(32) || chr(10) || chr(9) || chr(13)) <> ''
     UNION ALL SELECT draft_id, 'note_too_short_structural' FROM bi WHERE length(body) >= 40 AND draft_id % 3 <> 0 AND blocks < 3

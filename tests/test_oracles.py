@@ -1,11 +1,13 @@
 """Every query against its oracle at the smallest scale; those without one against their rules."""
 
+import os
+
 import duckdb
 import pytest
 
-from noteloom.plans import catalog
+from noteloom.plans import catalog, note_catalog  # noqa: F401  the second one adds to the first
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 

@@ -20,7 +20,7 @@ def value(spark, make, *args):
     (lambda t: tx.headings_within(t), ("# A\n### B\n##### C\n```\n# x\n```\n# D",), "## A\n### B\n#### C\n```\n# x\n```\n## D"),
     (lambda t, h: tx.without_own_heading(t, h), ("## Определение\n\nТекст", "определение"), "Текст"),
     (lambda t, h: tx.without_own_heading(t, h), ("## Другое\n\nТекст", "определение"), "## Другое\n\nТекст"),
-    (lambda t: tx.first_sentence(t), ("Это т.е. значение по умолчанию. Дальше.",), "Это т.е. значение по умолчанию."),
+    (lambda t: tx.first_sentence(t), ("Слово т.д. и слово ещё. Потом другое.",), "Слово т.д. и слово ещё."),
     (lambda t: F.array_join(tx.normalized_tags(F.split(t, ", ")), "|"), ("#Python, python, Data Science, 2024, a/b, ",), "python|data-science|a/b"),
     (lambda t: tx.collapse_brackets(t), ("[[[[X]]]] и [[Y]]",), "[[X]] и [[Y]]"),
     (lambda t: tx.strip_brackets(t), ("[[ Title ]]",), "Title"),
