@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,8 +103,10 @@ def op9_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is ``spark.noteloom.pii.key``; where it is unset each call takes a random one and forgets it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates.substitute(docs).withColumn("n_entities", F.size("entities"))
+    key = spark.conf.get("spark.noteloom.pii.key", None)
+    return surrogates.substitute(docs, key.encode() if key else secrets.token_bytes(32)).withColumn("n_entities", F.size("entities"))
 
 
 QUERIES = {

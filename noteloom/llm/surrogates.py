@@ -12,40 +12,66 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Character classes that map onto themselves.
-CLASSES = (
+CLASSES = [
     "0123456789",
     "aeiou",
     "bcdfghjklmnpqrstvwxyz",
     "àáâãäåèéêëìíîïòóôõöùúûü",
     "çñ",
-    "аеиоуыэюя",
-    "бвгджзклмнпрстфхцчш",
-)
+    "аеиоуыэюяё",
+    "бвгджзклмнпрстфхцчшщй",
+]
+HEX = "0123456789abcdef"
+#: Further letters by blocks: Latin beyond ASCII, Greek, Cyrillic. Only those with one letter of each case.
+for low, high in ((0xDF, 0x250), (0x370, 0x400), (0x430, 0x530)):
+    block = [c for c in map(chr, range(low, high)) if c.islower() and len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c]
+    CLASSES.append("".join(c for c in block if not any(c in known for known in CLASSES)))
 TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Sr|Sra|Monsieur|Madame|Mme|Mlle|Господин|Госпожа"
+PARTICLE = r"(?:d['’]|(?:de|von|van|der|den|di|da|la|le) ){0,2}"
+WORD = rf"{PARTICLE}(?=\p{{L}}['’]?\p{{L}})\p{{Lu}}[\p{{L}}\p{{M}}]*(?:['’]\p{{L}}[\p{{L}}\p{{M}}]+)*"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+GROUP = "[0-9A-Fa-f]{1,4}"
+NATIONAL = r"0\d{1,4}[ /-]\d{5,8}"
+NAME = rf"{WORD}(?:-{WORD})*"
 PATTERNS = {
     "email": r"[\w.+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)",
+    "ipv6": rf"(?<![\w:.])(?:(?:{GROUP}:){{7}}{GROUP}|(?:{GROUP}:){{1,6}}(?::{GROUP}){{1,6}})(?![\w:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])(?:\d{4}[ -]){3}\d{1,7}(?!\d)|(?<!\d)\d{13,19}(?!\d)",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"
-    r"|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[-. ]\d{3}[-. ]\d{4}(?!\d)",
-    "name": rf"\b(?:{TITLES})\.? [A-ZÀ-ÞА-Я][a-zß-ÿа-яё]+(?:[ -][A-ZÀ-ÞА-Я][a-zß-ÿа-яё]+)?",
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\+\d{2} \d{2,4} \d{5,8}(?!\d)"
+    r"|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[-. ]\d{3}[-. ]\d{4}(?!\d)|(?<![\d.,-])" + NATIONAL + r"(?!\d)",
+    "name": rf"\b(?:{TITLES})\.? {NAME}(?: \p{{Lu}}\.)?(?: {NAME})?",
 }
-FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
-HINT = re.compile(rf"[@\d]|\b(?:{TITLES})\b")
+FINDER = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+HINT = regex.compile(rf"[@\d]|::|\b(?:{TITLES})\b")
 CLASS_OF = {c: k for k, chars in enumerate(CLASSES) for c in chars}
+#: Country calling codes of one and two digits; all others have three.
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+
+
+def country_digits(number: str) -> int:
+    """How many digits of an international number are its country's."""
+    digits = "".join(c for c in number if c.isdigit())
+    return 1 if digits[:1] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3
+
+
+def iban_remainder(country: str, check: str, body: str) -> int:
+    return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
 
 
 class Permutation:
@@ -114,8 +140,22 @@ class Replacer:
         return f"{self.text('local', local)}@{self.text('host', host)}.{top}"
 
     def iban(self, value: str) -> str:
-        body = self.digits("iban", value[2:])
-        return value[:2] + (body if body != value[2:] else self.text("iban", value[2:]))
+        """Digits of the account change; the check digits keep their remainder, so valid numbers stay valid."""
+        country, check, rest = value[:2], value[2:4], value[4:]
+        body = self.digits(f"iban|{country}", rest)
+        body = body if body != rest else self.text(f"iban|{country}", rest)
+        if 2 <= int(check) <= 98:
+            old, new = (iban_remainder(country, "00", x.replace(" ", "")) for x in (rest, body))
+            check = f"{(int(check) + old - new - 2) % 97 + 2:02d}"
+        return country + check + body
+
+    def ipv6(self, value: str) -> str:
+        low = value.lower()
+        at = [i for i, c in enumerate(low) if c in HEX]
+        out = list(low)
+        for i, d in zip(at, self.permute("ipv6", [HEX.index(low[i]) for i in at], 16), strict=True):
+            out[i] = HEX[d]
+        return "".join(c.upper() if value.isupper() else c for c in out)
 
     def ip(self, value: str) -> str:
         out = self.permute("ip", [int(x) for x in value.split(".")], 256)
@@ -132,12 +172,17 @@ class Replacer:
         return head + str(rest) + value[at + 1 :]
 
     def phone(self, value: str) -> str:
-        return self.digits("phone", value, max(0, sum(c.isdigit() for c in value) - 10))
+        """A country's digits stay, or the zero before an area; the rest changes."""
+        keep = country_digits(value) if value[0] == "+" else 1 if regex.fullmatch(NATIONAL, value) else 0
+        return self.digits("phone", value, keep)
+
+    def word(self, value: str) -> str:
+        """One word of a name, the same in any place: its last letter stays, for gender; initials change whole."""
+        return self.text("initial", value) if len(value) == 1 else self.text("name", value[:-1]) + value[-1]
 
     def name(self, value: str) -> str:
         title, _, rest = value.partition(" ")
-        parts = re.split(r"([ -])", rest)
-        return title + " " + "".join(p if p in " -" else self.text("name", p[:-1]) + p[-1] for p in parts)
+        return title + " " + "".join(self.word(p) if p[:1].isupper() else p for p in regex.split(r"([ \-'’.])", rest))
 
 
 def luhn(number: str) -> int:
@@ -149,13 +194,28 @@ def luhn(number: str) -> int:
 
 
 def replaced(text: str, replacer: Replacer) -> tuple[str, list[dict]]:
-    """The text with surrogates, and where the entities were in the original."""
+    """The text with surrogates, and where the entities were in the original.
+
+    Words of a name that has a title are replaced wherever else the text has them.
+    """
+    spans = [(m.start(), m.end(), m.lastgroup) for m in FINDER.finditer(text)] if HINT.search(text) else []
+    known = {w for a, b, kind in spans if kind == "name" for w in regex.split(r"[ \-'’.]", text[a:b].partition(" ")[2]) if len(w) > 2 and w[0].isupper()}
+    if known:
+        mention = regex.compile(rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(map(regex.escape, sorted(known)))})(?![\p{{L}}\p{{M}}])")
+        at = iter([*spans, (len(text), len(text), "")])
+        a, b, _ = next(at)
+        for m in list(mention.finditer(text)):
+            while b <= m.start() and a < len(text):
+                a, b, _ = next(at)
+            if m.end() <= a:
+                spans.append((m.start(), m.end(), "word"))
+        spans.sort()
     out, last, found = [], 0, []
-    for m in FINDER.finditer(text) if HINT.search(text) else ():
-        new = getattr(replacer, m.lastgroup)(m[0])
-        out += [text[last : m.start()], new]
-        last = m.end()
-        found.append({"kind": m.lastgroup, "start": m.start(), "end": m.end(), "surrogate": new})
+    for a, b, kind in spans:
+        new = getattr(replacer, kind)(text[a:b])
+        out += [text[last:a], new]
+        last = b
+        found.append({"kind": "name" if kind == "word" else kind, "start": a, "end": b, "surrogate": new})
     return "".join([*out, text[last:]]), found
 
 
@@ -173,11 +233,12 @@ def rewritten(batches: Iterable[pa.RecordBatch], text_col: str, key: bytes) -> I
         yield pa.RecordBatch.from_arrays([*columns, pa.array([e for _, e in done], ARROW)], names=[*keep, "entities"])
 
 
-def substitute(docs: DataFrame, text_col: str = "text", key: bytes = b"noteloom") -> DataFrame:
+def substitute(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text_col`` and the replaced ``entities`` (places in the original).
 
-    Set ``key`` to a secret of your own: with one key equal entities get equal surrogates
-    in every row and every run. A null text stays null and an empty one empty, both without
+    ``key`` is a secret: with one key equal entities get equal surrogates in every row and
+    every run, and who has it can undo them. Names are found by their titles; their words are
+    then replaced in the whole document. A null text stays null and an empty one empty, both without
     entities. Other columns are kept, one named ``entities`` is replaced; repeated rows
     come out alike; texts are whole and no row is shuffled.
     """
