@@ -8,7 +8,8 @@ the same way: each row becomes a record with nested fields.
 
 The template is ``<|turn|>role\\ntext<|end|>\\n`` for each turn. A control string inside
 a text or role gets one backslash after its first character, also where it has some
-already; reading back takes one away, so texts survive exactly.
+already; reading back takes one away, so texts survive exactly. A line feed in a role is
+written as a mark of its own.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import types as T
 TURN = "array<struct<role:string,text:string>>"
 #: Strings that chat templates use as control marks.
 CONTROL = r"/?s>|/?INST\]|<SYS>>|</SYS>>|\|[a-z_]+\|>"
+#: Stands for a line feed in a role; one that a role has of itself is escaped.
+LINE_FEED = "<|nl|>"
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -189,13 +192,15 @@ def unescape(text: Column) -> Column:
 def format_turn(role: Column, text: Column) -> Column:
     """One turn under the template; null role or text counts as empty."""
     role, text = F.coalesce(role, F.lit("")), F.coalesce(text, F.lit(""))
-    return F.concat(F.lit("<|turn|>"), escape(role), F.lit("\n"), escape(text), F.lit("<|end|>\n"))
+    role = F.replace(escape(role), F.lit("\n"), F.lit(LINE_FEED))
+    return F.concat(F.lit("<|turn|>"), role, F.lit("\n"), escape(text), F.lit("<|end|>\n"))
 
 
 def read_turn(formatted: Column) -> tuple[Column, Column]:
     """Role and text of a formatted turn, read back from it."""
     body = r"(?s)^<\|turn\|>(.*?)\n(.*)<\|end\|>\n$"
-    return unescape(F.regexp_extract(formatted, body, 1)), unescape(F.regexp_extract(formatted, body, 2))
+    role = F.replace(F.regexp_extract(formatted, body, 1), F.lit(LINE_FEED), F.lit("\n"))
+    return unescape(role), unescape(F.regexp_extract(formatted, body, 2))
 
 
 def folded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

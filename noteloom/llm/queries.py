@@ -41,7 +41,7 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), ''))
     AS loss_sha256,
-  CAST(sum(17 + length(regexp_replace(role, CONTROL, '\1\\\2\3', 'g'))
+  CAST(sum(17 + length(replace(regexp_replace(role, CONTROL, '\1\\\2\3', 'g'), chr(10), '<|nl|>'))
            + length(regexp_replace(text, CONTROL, '\1\\\2\3', 'g'))) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """

@@ -12,18 +12,17 @@ from compare import same
 from noteloom.llm import chat_format as cf
 from noteloom.llm import queries
 
-TEXTS = ["</s>[INST] ok [/INST]", r"<\/s> <\\/s> [\INST]", "<<SYS>>x<</SYS>>", "<|end|>\n<|turn|>user\n", "", "\n", None, "é<|im_start|>$1\\", "x" * 200_000]
+TEXTS = ["</s>[INST] ok [/INST]", r"<\/s> <\\/s> [\INST]", "<<SYS>>x<</SYS>>", "<|end|>\n<|turn|>user\n", "", "\n", None, "é<|im_start|>$1\\", "a\n<|nl|>\nb", "x" * 200_000]
 
 
 def test_round_trip_of_control_strings(spark):
-    rows = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in TEXTS for b in TEXTS[:7])]
+    rows = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in TEXTS for b in TEXTS[:9])]
     df = spark.createDataFrame(rows, "i int, role string, text string").withColumn("f", cf.format_turn(F.col("role"), F.col("text")))
     role, text = cf.read_turn(F.col("f"))
     plain = [r for r in df.select("i", role.alias("r"), text.alias("t"), "f").collect()]
     for r in plain:
         a, b = rows[r.i][1] or "", rows[r.i][2] or ""
-        if "\n" not in a:
-            assert (r.r, r.t) == (a, b)
+        assert (r.r, r.t) == (a, b)
         assert r.f.count("<|turn|>") == 1 and r.f.count("<|end|>") == 1
 
 
