@@ -38,7 +38,9 @@ ORDERS = (1, 2, 3)
 #: Counts are told exactly up to this one; all commoner shingles count as equally common.
 MOST = 255
 #: About how many bytes of text make a pack, and how many shingles a bucket.
-PACK_BYTES, BUCKET_SHINGLES = 3 << 20, 1 << 20
+PACK_BYTES, BUCKET_SHINGLES = 3 << 20, 1 << 18
+#: The bits of a shingle's mark within its bucket.
+MARK_BITS = 24
 #: The nodes of a large block that all its parts meet first.
 HUBS = 16
 
@@ -108,8 +110,22 @@ def unpacked(lengths: list[int], body: bytes) -> list[bytes]:
 
 
 def marks(shingles: np.ndarray, bits: int) -> np.ndarray:
-    """The first ``32 + bits`` bits of a hash: a bucket and 32 bits within it."""
-    return mix(shingles, 0) >> np.uint64(32 - bits)
+    """The first bits of a hash: the bucket and a mark within it. Shingles of one mark count as one."""
+    return mix(shingles, 0) >> np.uint64(64 - MARK_BITS - bits)
+
+
+def squeezed(low: np.ndarray) -> bytes:
+    """Rising marks of one bucket as steps, byte by byte of all steps, compressed."""
+    steps = np.diff(low.astype("<u4"), prepend=np.uint32(0)).astype("<u4")
+    return pa.compress(steps.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes(), codec="zstd", asbytes=True) if len(low) else b""
+
+
+def loosened(raw: bytes, n: int) -> np.ndarray:
+    """The marks that ``squeezed`` made of them, ``n`` of them."""
+    steps = np.zeros((n, 4), np.uint8)
+    if n:
+        steps[:, :3] = np.frombuffer(pa.decompress(raw, 3 * n, codec="zstd", asbytes=True), np.uint8).reshape(3, n).T
+    return np.cumsum(steps.view("<u4").ravel(), dtype=np.uint32)
 
 
 COUNTS = "bucket int, pack long, marks binary, counts binary"
@@ -121,10 +137,10 @@ def marked(batches: Iterable[pa.RecordBatch], width: int, bits: int) -> Iterator
         for pack, lengths, body in zip(*[batch.column(c).to_pylist() for c in (0, 2, 3)], strict=True):
             sets = shingle_sets(unpacked(lengths, body), width)
             values, counts = np.unique(marks(np.concatenate(sets), bits), return_counts=True)
-            buckets = (values >> np.uint64(32)).astype(np.int64)
+            buckets = (values >> np.uint64(MARK_BITS)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(buckets, prepend=-1))
-            low, few = values.astype(np.uint32), np.minimum(counts, MOST).astype(np.uint8)
-            pieces = [(x.tobytes(), y.tobytes()) for x, y in zip(np.split(low, cuts[1:]), np.split(few, cuts[1:]), strict=True)] if len(cuts) else []
+            low, few = values & np.uint64((1 << MARK_BITS) - 1), np.minimum(counts, MOST).astype(np.uint8)
+            pieces = [(squeezed(x), y.tobytes()) for x, y in zip(np.split(low, cuts[1:]), np.split(few, cuts[1:]), strict=True)] if len(cuts) else []
             yield batches_of(COUNTS, buckets[cuts], [pack] * len(cuts), [x for x, _ in pieces], [y for _, y in pieces])
 
 
@@ -132,12 +148,12 @@ def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """To each pack those of its shingles that other texts hold too, with counts; rows come sorted by bucket."""
 
     def answer(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
-        all_marks = np.concatenate([np.frombuffer(m, np.uint32) for _, m, _ in rows])
+        all_marks = np.concatenate([loosened(m, len(c)) for _, m, c in rows])
         values, at = np.unique(all_marks, return_inverse=True)
         counts = np.bincount(at, np.concatenate([np.frombuffer(c, np.uint8) for _, _, c in rows])).astype(np.int64)
         many = np.minimum(counts, MOST).astype(np.uint8)[at]
-        ends = np.cumsum([len(m) // 4 for _, m, _ in rows])[:-1]
-        out = [(x[y > 1].tobytes(), y[y > 1].tobytes()) for x, y in zip(np.split(all_marks, ends), np.split(many, ends), strict=True)]
+        ends = np.cumsum([len(c) for _, _, c in rows])[:-1]
+        out = [(squeezed(x[y > 1]), y[y > 1].tobytes()) for x, y in zip(np.split(all_marks, ends), np.split(many, ends), strict=True)]
         return batches_of(COUNTS, [bucket] * len(rows), [p for p, _, _ in rows], [x for x, _ in out], [y for _, y in out])
 
     key, rows = None, []
@@ -170,7 +186,7 @@ class Union:
         self.parent[max(x, y)] = min(x, y)
 
 
-FOUND = "node long, sum long, n long, tied array<long>, text binary, bytes int, order int, token long"
+FOUND = "node long, sum long, n long, tied array<long>, text binary, bytes int, order int, tokens array<long>, nodes array<long>"
 #: A text of a node; a node has more than one where rows share an id.
 WHO = ["node", "sum"]
 
@@ -212,19 +228,19 @@ def suspects_of(nodes: np.ndarray, texts: list[bytes], width: int, percent: int,
         far = (many[inside][first] > times) | (many[inside][first] == MOST)  # other packs hold it too
         tokens.append((token[first][far], tied[who[first][far], k], order))
     out = np.flatnonzero(room > 0).tolist()
-    n = sum(len(t) for t, _, _ in tokens)
     sums = [int(mix(sets[i], 11).sum(dtype=np.uint64).view(np.int64)) for i in out]
-    none = [None] * len(out)
+    none, rest = [None] * len(out), [None] * len(tokens)
     return batches_of(
         FOUND,
-        [*nodes[out].tolist(), *[x for _, who, _ in tokens for x in who.tolist()]],
-        [*sums, *[None] * n],
-        [*size[out].tolist(), *[None] * n],
-        [*tied[out].tolist(), *[None] * n],
-        [*[pa.compress(texts[i], codec="zstd", asbytes=True) for i in out], *[None] * n],
-        [*[len(texts[i]) for i in out], *[None] * n],
-        [*none, *[order for t, _, order in tokens for _ in range(len(t))]],
-        [*none, *[x for t, _, _ in tokens for x in t.view(np.int64).tolist()]],
+        [*nodes[out].tolist(), *rest],
+        [*sums, *rest],
+        [*size[out].tolist(), *rest],
+        [*tied[out], *rest],
+        [*[pa.compress(texts[i], codec="zstd", asbytes=True) for i in out], *rest],
+        [*[len(texts[i]) for i in out], *rest],
+        [*none, *[order for _, _, order in tokens]],
+        [*none, *[t.view(np.int64) for t, _, _ in tokens]],
+        [*none, *[who for _, who, _ in tokens]],
     )
 
 
@@ -244,7 +260,7 @@ def filtered(batches: Iterable[pa.RecordBatch], width: int, percent: int, bits:
                 told_to += [(bucket, low, counts)] if bucket is not None else []
                 continue
             told_to.sort(key=lambda x: x[0])
-            known = [np.frombuffer(m, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, m, _ in told_to]
+            known = [loosened(m, len(c)).astype(np.uint64) | np.uint64(b << MARK_BITS) for b, m, c in told_to]
             many = np.frombuffer(b"".join(c for _, _, c in told_to), np.uint8)
             known = np.concatenate([*known, np.empty(0, np.uint64)])
             left = [(node, text) for node, text in zip(nodes, unpacked(lengths, body), strict=True) if node not in gone]
@@ -377,7 +393,8 @@ def large_block_links(blocks: DataFrame, texts: DataFrame, width: int, percent:
 def block_links(found: DataFrame, width: int, percent: int, docs: int, shingles: int) -> DataFrame:
     """Links among the suspects in ``found`` (``FOUND``), after the filters of all orders are intersected."""
     texts = found.where("order is null").select(*WHO, "n", "tied", "text", "bytes")
-    tokens = found.where("order is not null").select("order", "token", "node")
+    each = F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("nodes").alias("node"))).alias("t")
+    tokens = found.where("order is not null").select("order", each).select("order", "t.token", "t.node")
     hubs = tokens.groupBy("order", "token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
     ties = tokens.join(hubs.select("order", "token", "hub"), ["order", "token"]).where("node <> hub")
     labels = components(ties.select(F.struct("order", "node").alias("a"), F.struct("order", F.col("hub").alias("node")).alias("b")).distinct())
