@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from noteloom.llm.graph import components
 from noteloom.llm.shingles import mix, shingle_sets
-from noteloom.llm.tables import batches_of, giving_back, small_batches
+from noteloom.llm.tables import batches_of, giving_back, let_go, small_batches
 from noteloom.session import cut
 
 ORDERS = (1, 2, 3)
@@ -453,9 +453,13 @@ def jaccard_components(
     answers = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: giving_back(told, it), COUNTS)
     both = answers.unionByName(packs, allowMissingColumns=True).unionByName(spare, allowMissingColumns=True).repartition("pack").sortWithinPartitions("pack", F.col("body").isNotNull())
     found = cut(both.mapInArrow(lambda it: giving_back(filtered, it, width, percent, bits), FOUND))
+    del packs, spare, counted, answers, both
+    let_go(docs.sparkSession)
     links = block_links(found, width, percent, group_docs, group_shingles)
     twice = members.join(repeated, "doc_id").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     groups = components(links.unionByName(twice))
+    del found, links
+    let_go(docs.sparkSession)
     placed = members.join(repeated, "doc_id", "left").select("doc_id", "n", F.coalesce("node", "least").alias("node"))
     named = placed.join(groups, "node", "left")
     own = F.coalesce("label", "node", "doc_id")

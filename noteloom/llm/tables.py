@@ -42,6 +42,16 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a driver with little to do
+    puts off while disks fill. Call it where a checkpoint has made large shuffles useless.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def giving_back(run: Callable[..., Iterator[pa.RecordBatch]], batches: Iterable[pa.RecordBatch], *args) -> Iterator[pa.RecordBatch]:
     """``run(batches, *args)``, and then hand what it freed back to the system.
 
