@@ -331,14 +331,16 @@ def section_assembly(spark, d):
     return assembly.assembled(*sections(spark, d))
 
 
-@query(r"""WITH c AS (SELECT conv_id % 5 AS g, conv_id AS ord, min_by(text, turn) AS t FROM conversations GROUP BY conv_id),
+@query(r"""WITH c AS (SELECT conv_id - conv_id % 8 AS g, conv_id AS ord, min_by(text, turn) AS t FROM conversations GROUP BY conv_id),
   l AS (SELECT 'Topic ' || g AS topic, count(*) AS n_notes, string_agg('- [[Chat ' || ord || ']] — ' || length(t), chr(10) ORDER BY ord) AS body FROM c GROUP BY g HAVING count(*) > 1)
-  SELECT topic, topic || ' — обзор' || CASE WHEN CAST(substr(topic, 7) AS INT) % 2 = 0 THEN ' (2)' ELSE '' END AS title, n_notes, body FROM l""")
+  SELECT topic, topic || ' — обзор' || CASE WHEN CAST(substr(topic, 7) AS BIGINT) % 3 = 0 THEN ' (2)' ELSE '' END AS title, n_notes, body FROM l""")
 def moc_build(spark, d):
+    """Maps of up to eight conversations each, so that their number and not their size grows with the table."""
     c = vv.read(spark, d, "conversations").groupBy(F.col("conv_id").alias("ord")).agg(F.min_by("text", "turn").alias("t"))
-    topic = F.concat(F.lit("Topic "), (F.col("ord") % 5).cast("string"))
+    group = F.col("ord") - F.col("ord") % 8
+    topic = F.concat(F.lit("Topic "), group.cast("string"))
     drafts = c.select(topic.alias("topic"), "ord", F.lit("create").alias("action"), F.concat(F.lit("Chat "), F.col("ord").cast("string")).alias("title"), F.length("t").cast("string").alias("description"))
-    taken = drafts.where((F.col("ord") % 5) % 2 == 0).select(F.concat("topic", F.lit(" — обзор")).alias("title")).distinct()
+    taken = drafts.where(group % 3 == 0).select(F.concat("topic", F.lit(" — обзор")).alias("title")).distinct()
     return assembly.overview(drafts, taken)
 
 
