@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import ann, chat_format, decontamination, jaccard_join, language_id, packing, quality_rules, secret_scan, surrogates, token_counts
+from noteloom.llm import ann, byte_bpe, chat_format, decontamination, jaccard_join, language_id, packing, quality_rules, secret_scan, surrogates, token_counts
 from noteloom.llm.tables import table
 
 
@@ -109,6 +109,10 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.substitute(docs, key.encode() if key else secrets.token_bytes(32)).withColumn("n_entities", F.size("entities"))
 
 
+def op13_chunked_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_posting_list_neighbours": op1_posting_list_neighbours,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -120,6 +124,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_fm_decontamination": op9_fm_decontamination,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op13_chunked_byte_bpe": op13_chunked_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": OP3_SQL.replace("CONTROL", rf"'([<\[])(\\*)({chat_format.CONTROL})'"),
