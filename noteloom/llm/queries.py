@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import ann, byte_bpe, chat_format, decontamination, jaccard_join, language_id, packing, quality_rules, secret_scan, surrogates, token_counts
+from noteloom.llm import ann, byte_bpe, chat_format, decontamination, jaccard_join, language_id, packing, prefix_trie, quality_rules, secret_scan, surrogates, token_counts
 from noteloom.llm.tables import table
 
 
@@ -109,6 +109,57 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.substitute(docs, key.encode() if key else secrets.token_bytes(32)).withColumn("n_entities", F.size("entities"))
 
 
+def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+#: DuckDB has no CRC-32, so the digits' checksum is folded bit by bit from the polynomial.
+OP12_SQL = r"""
+WITH RECURSIVE own AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM own),
+crc(conv_id, s, i, c) AS (
+  SELECT conv_id, s, 0, CAST(4294967295 AS BIGINT) FROM convs
+  UNION ALL
+  SELECT conv_id, s, i + 1,
+    list_reduce(list_prepend(xor(c, CAST(ascii(substr(s, i + 1, 1)) AS BIGINT)), [CAST(0 AS BIGINT) FOR j IN range(8)]),
+      lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))
+  FROM crc WHERE i < length(s)
+),
+heads AS (SELECT conv_id, xor(c, 4294967295) % 6 AS h FROM crc WHERE i = length(s)),
+joined AS (
+  SELECT o.conv_id, 1 AS part, k, role, text FROM own o JOIN heads USING (conv_id) WHERE k > h
+  UNION ALL
+  SELECT c.conv_id, 0, k, role, text FROM heads c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 100 WHERE k <= h
+),
+paths AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars,
+    string_agg(md5(length(role) || ':' || role || text) || md5(text), '') OVER w AS path
+  FROM joined WINDOW w AS (PARTITION BY conv_id ORDER BY part, k ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+),
+lengths AS (SELECT conv_id, max(depth) AS turns FROM paths GROUP BY conv_id),
+node AS (
+  SELECT path, depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CASE WHEN depth = turns THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends
+  FROM paths JOIN lengths USING (conv_id) GROUP BY path, depth
+),
+kids AS (SELECT left(path, -64) AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (path)),
+sums AS (
+  SELECT left(path, 64 * up) AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM full_node) GROUP BY 1
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs,
+  CAST(n.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+  sha256(n.ends) AS ends_sha256
+FROM full_node n JOIN sums USING (path) LEFT JOIN node p ON n.depth > 0 AND p.path = left(n.path, -64)
+"""
+
+
 def op13_chunked_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -124,8 +175,10 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_fm_decontamination": op9_fm_decontamination,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op12_burst_trie": op12_burst_trie,
     "op13_chunked_byte_bpe": op13_chunked_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": OP3_SQL.replace("CONTROL", rf"'([<\[])(\\*)({chat_format.CONTROL})'"),
+    "op12_burst_trie": OP12_SQL,
 }
