@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import ann, byte_bpe, chat_format, decontamination, jaccard_join, language_id, packing, prefix_trie, quality_rules, secret_scan, surrogates, token_counts
+from noteloom.llm import ann, byte_bpe, chat_format, decontamination, dual_tree, jaccard_join, language_id, packing, prefix_trie, quality_rules, secret_scan, surrogates, token_counts
 from noteloom.llm.tables import table
 
 
@@ -109,6 +109,33 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.substitute(docs, key.encode() if key else secrets.token_bytes(32)).withColumn("n_entities", F.size("entities"))
 
 
+def op11_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, TERMS AS terms FROM documents),
+items AS (SELECT DISTINCT CAST(item_id AS BIGINT) AS item_id, unnest(TERMS) AS term FROM benchmark),
+sized AS (SELECT r, doc_id, CAST(len(terms) AS BIGINT) AS n FROM docs WHERE len(terms) > 0),
+whole AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sized),
+tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM items) GROUP BY r, term
+),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term
+),
+scored AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * big_n) // big_l))))) AS BIGINT) AS score
+  FROM items JOIN weight USING (term) JOIN tf USING (term) JOIN sized USING (r), whole GROUP BY item_id, r, doc_id
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS k FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM ranked WHERE k <= 10
+""".replace("TERMS", r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+
 def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -175,10 +202,12 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_fm_decontamination": op9_fm_decontamination,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_dual_tree_search": op11_dual_tree_search,
     "op12_burst_trie": op12_burst_trie,
     "op13_chunked_byte_bpe": op13_chunked_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": OP3_SQL.replace("CONTROL", rf"'([<\[])(\\*)({chat_format.CONTROL})'"),
+    "op11_dual_tree_search": OP11_SQL,
     "op12_burst_trie": OP12_SQL,
 }
