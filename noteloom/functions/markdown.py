@@ -15,6 +15,7 @@ LOOKALIKE = {
     "a": "а", "c": "с", "e": "е", "o": "о", "p": "р", "x": "х", "y": "у",
     "A": "А", "B": "В", "C": "С", "E": "Е", "H": "Н", "K": "К", "M": "М", "O": "О", "P": "Р", "T": "Т", "X": "Х",
 }
+#: What links and look-alikes are not changed in, as blocks, as spans of a line and as whole lines.
 BLOCKS = r"^ {0,3}```.*?(?:^ {0,3}```[^\n]*$|\Z)|^[ \t]*\$\$[ \t]*$.*?(?:^[ \t]*\$\$[ \t]*$|\Z)"
 SPANS = r"`[^`\n]*`|\$\$[^$\n]*\$\$|\$[^$\n]+\$|\[\[[^\]\n]*\]\]|\[[^\]\n]*\]\([^)\n]*\)|https?://\S+|www\.\S+"
 LINES = r"^(?: {0,3}#{1,6}(?:[ \t]|$)|[ \t]*\||[ \t]*>[ \t]*\[!)[^\n]*$"
@@ -80,36 +81,184 @@ def linked(text: Column, titles: Column) -> Column:
     return run(text, titles)
 
 
-def content_blocks_of(text: str, least: int, placeholder: str) -> int:
-    """Top-level paragraphs of ``least`` characters, lists, tables and code blocks; quotes and headings don't count.
+#: Tags that begin a block of HTML which goes on to the next blank line.
+HTML_TAGS = (
+    "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary "
+    "table tbody td tfoot th thead title tr track ul"
+).replace(" ", "|")
+#: How blocks of HTML begin, and how they end; those that end with "" end before a blank line.
+HTML = [
+    (re.compile(start, re.I), re.compile(end, re.I) if end else None)
+    for start, end in (
+        (r"<(?:script|pre|style|textarea)(?:\s|>|$)", r"</(?:script|pre|style|textarea)>"),
+        (r"<!--", r"-->"),
+        (r"<\?", r"\?>"),
+        (r"<![a-z]", r">"),
+        (r"<!\[CDATA\[", r"\]\]>"),
+        (rf"</?(?:{HTML_TAGS})(?:\s|/?>|$)", ""),
+        (r"(?:<[a-z][a-z0-9-]*(?:\s+[a-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>|</[a-z][a-z0-9-]*\s*>)\s*$", ""),
+    )
+]
+FENCE, HEAD = re.compile(r" {0,3}(?:(`{3,})[^`]*$|(~{3,}))"), re.compile(r" {0,3}#{1,6}(?:\s|$)")
+RULE, UNDERLINE = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$"), re.compile(r" {0,3}(?:=+|-+)[ \t]*$")
+QUOTE, ITEM = re.compile(r" {0,3}> ?"), re.compile(r"( {0,3})([-*+]|(\d{1,9})([.)]))(?=\s|$)")
+DELIMITERS = re.compile(r" {0,3}(?=[|:-])(?!-\s)\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+
+
+def cells(row: str) -> int:
+    """How many cells a table's row has."""
+    return len(re.split(r"(?<!\\)\|", re.sub(r"^\||(?<!\\)\|$", "", row.strip())))
+
+
+def html_kind(line: str, open_paragraph: bool) -> int | None:
+    bare = line.lstrip(" ")
+    if len(line) - len(bare) > 3 or not bare.startswith("<"):
+        return None
+    return next((k for k, (start, _) in enumerate(HTML[:6] if open_paragraph else HTML) if start.match(bare)), None)
+
 
-    Lines tell the blocks: a list goes on over blank lines while its next line is an item or
-    indented, and a quote to the next blank line.
+class Blocks:
+    """The open block at one level of containers, fed line by line; ``count`` is what counts at this level.
+
+    Paragraphs of ``least`` characters, lists, tables and fenced code count; headings, quotes, HTML and
+    indented code don't. A container hands its lines to a level of its own.
     """
-    count, kind, held = 0, "", []
-    for line in [*text.splitlines(), ""]:
-        bare = line.strip()
-        if kind == "code":
-            kind = "" if re.match(r" {0,3}```", line) else kind
-            continue
-        item = re.match(r" {0,3}(?:[-*+]|\d{1,9}[.)])(?:\s|$)", line)
-        if kind == "list" and (not bare or item or line[0].isspace()):
-            continue
-        kind = "" if kind == "list" or (kind in ("quote", "table") and not bare) else kind
-        fence, head = re.match(r" {0,3}```", line), re.match(r" {0,3}#{1,6}(?:\s|$)", line)
-        if kind == "" and (not bare or fence or head or item or bare[0] in ">|"):
-            prose = " ".join(held)
-            count += len(prose) >= least and prose != placeholder
-            held = []
-            kind = "code" if fence else "list" if item else "quote" if bare.startswith(">") else "table" if bare.startswith("|") else ""
-            count += kind in ("code", "list", "table")
-        elif kind == "":
-            held.append(bare)
-    return count
+
+    def __init__(self, least: int = 0, placeholder: str = ""):
+        self.least, self.placeholder, self.count = least, placeholder, 0
+        self.kind, self.held, self.inner = "", [], None
+
+    def lazy(self) -> bool:
+        """Whether a paragraph is open here or in the innermost container."""
+        return self.kind == "text" or (self.kind in ("quote", "list") and self.inner.lazy())
+
+    def close(self) -> None:
+        if self.kind == "text":
+            prose = "\n".join(self.held).strip()
+            self.count += len(prose) >= self.least and prose != self.placeholder
+        self.kind, self.held, self.inner = "", [], None
+
+    def feed(self, line: str) -> None:
+        blank = not line.strip()
+        if self.kind and self.goes_on(line, blank):
+            return
+        self.close()
+        if not blank:
+            self.begin(line)
+
+    def goes_on(self, line: str, blank: bool) -> bool:
+        """Whether ``line`` belongs to the open block."""
+        if self.kind == "fence":
+            if re.match(rf" {{0,3}}{re.escape(self.mark[0])}{{{len(self.mark)},}}[ \t]*$", line):
+                self.kind = ""
+            return True
+        if self.kind == "html":
+            end = HTML[self.mark][1]
+            if end and end.search(line):
+                self.kind = ""
+            return bool(end) or not blank
+        if self.kind == "indented":
+            return blank or line.startswith("    ")
+        if self.kind == "table":
+            return not blank and not interrupts(line)
+        if self.kind == "quote":
+            if m := QUOTE.match(line):
+                self.inner.feed(line[m.end() :])
+            elif not blank and self.inner.lazy() and not interrupts(line):
+                self.inner.feed(line)
+            else:
+                return False
+            return True
+        if self.kind == "list":
+            return self.in_list(line, blank)
+        return self.in_text(line, blank)
+
+    def in_list(self, line: str, blank: bool) -> bool:
+        if blank:
+            self.inner.feed("")
+        elif len(line) - len(line.lstrip(" ")) >= self.offset:
+            self.inner.feed(line[self.offset :])
+        elif (m := ITEM.match(line)) and (m[4] or m[2]) == self.mark and not RULE.match(line):
+            self.item(line, m)
+        elif not m and self.inner.lazy() and not interrupts(line):
+            self.inner.feed(line.lstrip(" "))
+        else:
+            return False
+        return True
+
+    def in_text(self, line: str, blank: bool) -> bool:
+        if blank:
+            return False
+        if UNDERLINE.match(line):
+            self.kind = ""
+            return True
+        head = self.held[-1]
+        if DELIMITERS.match(line) and "|" in head and cells(head) == cells(line):
+            self.held.pop()
+            if self.held:
+                self.close()
+            self.count += 1
+            self.kind, self.held = "table", []
+            return True
+        if interrupts(line):
+            return False
+        self.held.append(line)
+        return True
+
+    def begin(self, line: str) -> None:
+        if line.startswith("    "):
+            self.kind = "indented"
+        elif m := FENCE.match(line):
+            self.kind, self.mark = "fence", m[1] or m[2]
+            self.count += 1
+        elif HEAD.match(line) or RULE.match(line):
+            pass
+        elif m := QUOTE.match(line):
+            self.kind, self.inner = "quote", Blocks()
+            self.inner.feed(line[m.end() :])
+        elif m := ITEM.match(line):
+            self.kind, self.mark = "list", m[4] or m[2]
+            self.count += 1
+            self.item(line, m)
+        elif (k := html_kind(line, False)) is not None:
+            end = HTML[k][1]
+            self.kind, self.mark = ("" if end and end.search(line) else "html"), k
+        else:
+            self.kind, self.held = "text", [line]
+
+    def item(self, line: str, m: re.Match) -> None:
+        rest = line[m.end() :]
+        gap = len(rest) - len(rest.lstrip(" "))
+        gap = gap if rest.strip() and 1 <= gap <= 4 else 1
+        self.offset, self.inner = m.end() + gap, Blocks()
+        self.inner.feed(rest[gap:])
+
+
+def interrupts(line: str) -> bool:
+    """Whether a line begins a block of its own behind an open paragraph."""
+    if FENCE.match(line) or HEAD.match(line) or RULE.match(line) or QUOTE.match(line) or html_kind(line, True) is not None:
+        return True
+    m = ITEM.match(line)
+    return bool(m and line[m.end() :].strip() and m[3] in (None, "1"))
+
+
+def content_blocks_of(text: str, least: int, placeholder: str) -> int:
+    """Top-level paragraphs of ``least`` characters, lists, tables and fenced code blocks of a text."""
+    blocks = Blocks(least, placeholder)
+    for line in re.split(r"\r\n|\n|\r", text):
+        blocks.feed(line.expandtabs(4) if "\t" in line[: len(line) - len(line.lstrip())] else line)
+    blocks.close()
+    return blocks.count
 
 
 def content_blocks(text: Column, placeholder: str, least: int = 40) -> Column:
-    return mapped(lambda x: content_blocks_of(x, least, placeholder), "int")(text)
+    """``content_blocks_of``; texts of nothing but paragraphs are told by column functions and not sent to Python."""
+    plain = ~text.rlike(r"(?m)^[ \t]*(?:[-+*_=>#`~<|:]|\d{1,9}[.)]|[ \t])|\||\r")
+    prose = F.transform(F.split(text, r"\n[ \t]*(?:\n[ \t]*)*\n|^\n+"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    simple = F.size(F.filter(prose, lambda x: (F.length(x) >= least) & (x != placeholder)))
+    found = mapped(lambda x: content_blocks_of(x, least, placeholder), "int")(F.when(~plain, text))
+    return F.when(text.isNotNull(), F.when(plain, simple).otherwise(found))
 
 
 def chosen_places(text: str, count: int) -> list[int] | None:
