@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions import text as tx
+from noteloom.functions import yaml as ym
+from noteloom.operators.drafts import sources_block
 
 FRONT = r"(?s)\A---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 
@@ -26,41 +28,47 @@ def read_notes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def parse_notes(raw: DataFrame) -> DataFrame:
-    """Title, front matter (flat keys), body, tags, links, hash and summary of each note."""
-    front = F.regexp_extract("raw_content", FRONT, 1)
-    body = F.regexp_replace("raw_content", FRONT, "")
-    lines = F.filter(F.split(front, r"\r?\n"), lambda x: x.rlike(r"^[^\s:#][^:]*:"))
-    entry = F.transform(lines, lambda x: F.struct(F.btrim(F.split_part(x, F.lit(":"), F.lit(1))).alias("k"), unquoted(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
-    listed = F.regexp_extract_all(F.regexp_extract(front, r"(?m)^tags:[ \t]*\r?\n((?:[ \t]*- .*(?:\r?\n|\z))+)", 1), F.lit(r"(?m)^[ \t]*- (.*)$"), F.lit(1))
-    step = raw.withColumn("frontmatter", F.map_from_entries(F.array_distinct(entry))).withColumn("body", body).withColumn("listed", listed)
-    given = F.element_at("frontmatter", "tags")
-    inline = F.transform(F.split(F.regexp_replace(given, r"^\[|\]$", ""), r",\s*"), unquoted)
-    own = F.when(F.size("listed") > 0, F.transform("listed", unquoted)).when(given.startswith("["), inline).when(given != "", F.array(given))
-    title = F.element_at("frontmatter", "title")
+    """Title, front matter, body, tags, links, hash and summary of each note.
+
+    ``front`` is the whole front matter as a VARIANT, ``frontmatter`` its keys with their values as
+    text (lists and maps as JSON). Front matter that can't be read counts as none, but is not part of the body.
+    """
+    block = F.regexp_extract("raw_content", FRONT, 1)
+    step = raw.withColumn("json", ym.as_json(F.when(block != "", block))).withColumn("body", F.regexp_replace("raw_content", FRONT, ""))
+    step = step.withColumn("json", F.when(F.col("json").startswith("{"), F.col("json")))
+    front = F.parse_json("json")
+    given = F.coalesce(F.try_variant_get(front, "$.tags", "array<string>"), F.array(F.try_variant_get(front, "$.tags", "string")))
+    own = F.filter(F.coalesce(given, F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != ""))
+    title = F.try_variant_get(front, "$.title", "string")
     return step.select(
-        "path", F.when(title != "", title).otherwise(tx.stem(F.col("path"))).alias("title"), "frontmatter", "body", "raw_content",
+        "path", F.when(title != "", title).otherwise(tx.stem(F.col("path"))).alias("title"), front.alias("front"),
+        F.coalesce(F.from_json("json", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("frontmatter"), "body", "raw_content",
         tx.all_tags(own, F.col("body")).alias("tags"), tx.wikilinks(F.col("body")).alias("outlinks"),
         tx.content_hash(F.col("raw_content")).alias("content_hash"), tx.summary(F.col("body")).alias("summary"),
     )
 
 
-def unquoted(x):
-    return F.regexp_replace(F.btrim(x), r"^(['\"])(.*)\1$", "$2")
+def scalar(text):
+    """A text as a YAML scalar: as it is where it reads back as that text, else in double quotes."""
+    plain = text.rlike(r"^[A-Za-zА-Яа-яЁё_](?:[\wА-Яа-яЁё ./()+,'!?«»—–…-]*[\wА-Яа-яЁё./()+'!?«»…-])?$") & ~text.rlike(r"(?i)^(?:true|false|yes|no|on|off|y|n|null)$")
+    packed = F.to_json(F.struct(text.alias("t")))
+    return F.when(plain, text).otherwise(F.substr(packed, F.lit(6), F.length(packed) - 6))
 
 
-def rendered(title, tags, created, source, body, links, is_moc):
-    """A note's file: front matter in fixed order without empty values, body, related links unless a map."""
+def rendered(title, tags, created, source, body, links, is_moc, refs=None):
+    """A note's file: front matter in fixed order without empty values, sources, body, related links unless a map."""
     head = F.array_compact(
         F.array(
-            F.when(title != "", F.concat(F.lit("title: "), F.to_json(F.struct(title.alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(title.alias("t")))) - 6))),
-            F.when(F.size(tags) > 0, F.concat(F.lit("tags:\n- "), F.array_join(tags, "\n- "))),
+            F.when(title != "", F.concat(F.lit("title: "), scalar(title))),
+            F.when(F.size(tags) > 0, F.concat(F.lit("tags:\n- "), F.array_join(F.transform(tags, scalar), "\n- "))),
             F.when(created != "", F.concat(F.lit("created: '"), created, F.lit("'"))),
-            F.when(source != "", F.concat(F.lit("source: "), source)),
+            F.when(source != "", F.concat(F.lit("source: "), scalar(source))),
         )
     )
     related = F.array_join(F.transform(links, lambda x: F.concat(F.lit("- [["), tx.strip_brackets(x), F.lit("]]"))), "\n")
     tail = F.when((F.size(links) > 0) & ~is_moc, F.concat(F.lit("\n\n## Связанные заметки\n\n"), related)).otherwise("")
-    return F.concat(F.lit("---\n"), F.array_join(head, "\n"), F.lit("\n---\n\n"), tx.collapse_brackets(tx.strip(body)), tail, F.lit("\n"))
+    origin = F.lit("") if refs is None else sources_block(refs)
+    return F.concat(F.lit("---\n"), F.array_join(head, "\n"), F.lit("\n---\n\n"), origin, tx.collapse_brackets(tx.strip(body)), tail, F.lit("\n"))
 
 
 def write_json(df: DataFrame, path: str) -> None:
