@@ -50,7 +50,7 @@ def parse_notes(raw: DataFrame) -> DataFrame:
 
 def scalar(text):
     """A text as a YAML scalar: as it is where it reads back as that text, else in double quotes."""
-    plain = text.rlike(r"^[A-Za-zА-Яа-яЁё_](?:[\wА-Яа-яЁё ./()+,'!?«»—–…-]*[\wА-Яа-яЁё./()+'!?«»…-])?$") & ~text.rlike(r"(?i)^(?:true|false|yes|no|on|off|y|n|null)$")
+    plain = text.rlike(r"^[A-Za-zА-Яа-яЁё_](?:[\wА-Яа-яЁё ./()+,'!?«»—–…-]*[\wА-Яа-яЁё./()+'!?«»…-])?$") & ~text.rlike(r"(?i)^(?:true|false|yes|no|on|off|null)$")
     packed = F.to_json(F.struct(text.alias("t")))
     return F.when(plain, text).otherwise(F.substr(packed, F.lit(6), F.length(packed) - 6))
 
