@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from noteloom.session import cut
 
@@ -19,27 +23,153 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.translate(text, "/-", "  ")), TOKEN_SPLIT), lambda x: x != "")
 
 
-def bm25(notes: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+class TermBlock:
+    """An inverted index of a task's notes over the terms of a block of queries, with the most that a term adds in each run of ``RUN`` notes.
+
+    Notes are put in the order of their heaviest term, so that a run's bounds are near what its notes reach.
+    """
+
+    RUN = 64
+
+    def __init__(self, paths: list[str], lengths: np.ndarray, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray, idf: np.ndarray, average: float, k1: float, b: float):
+        part = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[rows] / (average or 1.0)))
+        heaviest = np.full(len(paths), len(idf))
+        order = np.lexsort((part, rows))
+        last = np.flatnonzero(np.diff(rows[order], append=-1))
+        heaviest[rows[order][last]] = terms[order][last]
+        by = np.argsort(heaviest, kind="stable")
+        place = np.empty(len(paths), np.int64)
+        place[by] = np.arange(len(paths))
+        self.paths = [paths[i] for i in by.tolist()]
+        by_path = np.empty(len(paths), np.int64)
+        by_path[np.array(sorted(range(len(paths)), key=self.paths.__getitem__), np.int64)] = np.arange(len(paths))
+        self.by_path = by_path
+        order = np.lexsort((place[rows], terms))
+        self.rows, self.parts = place[rows][order], part[order]
+        self.ptr = np.searchsorted(terms[order], np.arange(len(idf) + 1))
+        self.runs = -(-len(paths) // self.RUN)
+        run = terms[order] * self.runs + self.rows // self.RUN
+        first = np.flatnonzero(np.diff(run, prepend=-1))
+        self.bound = np.maximum(np.maximum.reduceat(self.parts, first), 0) if len(first) else self.parts
+        self.bound_run = run[first] % self.runs
+        self.bound_ptr = np.searchsorted(run[first] // self.runs, np.arange(len(idf) + 1))
+
+    def scores(self, terms: list[tuple[int, int]], allowed: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(self.paths))
+        for t, times in terms:
+            at = slice(self.ptr[t], self.ptr[t + 1])
+            fits = allowed[self.rows[at] // self.RUN]
+            np.add.at(total, self.rows[at][fits], self.parts[at][fits] * times)
+        return total
+
+    def best(self, terms: list[tuple[int, int]], k: int, least: float) -> list[tuple[str, float]]:
+        """The ``k`` best notes, ties in path order, as far as they reach ``least``."""
+        bounds = np.zeros(self.runs)
+        for t, times in terms:
+            at = slice(self.bound_ptr[t], self.bound_ptr[t + 1])
+            bounds[self.bound_run[at]] += self.bound[at] * times
+        high = np.argsort(-bounds)[: 1 + 4 * k // self.RUN + 1]
+        allowed = np.zeros(self.runs, bool)
+        allowed[high] = True
+        first = np.partition(self.scores(terms, allowed), -min(k, len(self.paths)))[-min(k, len(self.paths))]
+        floor = max(first, least)
+        if floor > 0:  # runs below it can't matter, notes without any of the terms neither
+            allowed = bounds >= floor - 2e-6
+            score = np.round(self.scores(terms, allowed), 6)
+            found = np.flatnonzero(score >= np.round(floor, 6) - 1e-6)
+        else:
+            score = np.round(self.scores(terms, np.ones(self.runs, bool)), 6)
+            found = np.arange(len(score))
+        found = found[np.lexsort((self.by_path[found], -score[found]))][:k]
+        return [(self.paths[i], float(score[i])) for i in found.tolist()]
+
+
+def best_notes(
+    batches: Iterable[pa.RecordBatch], ids: pa.Array, queries: list[list[tuple[int, int]]], vocabulary: list[str], idf: np.ndarray, least: np.ndarray, average: float, k: int, k1: float, b: float, most: int = 1 << 14
+) -> Iterator[pa.RecordBatch]:
+    """Each query's best notes of a task's, ``most`` notes at a time."""
+    known = pa.array(vocabulary, pa.string())
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        paths, lists = table.column(0).to_pylist(), table.column(1).combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        lengths = np.diff(lists.offsets.to_numpy())
+        term = pc.index_in(lists.flatten(), value_set=known)
+        there = term.is_valid().to_numpy(zero_copy_only=False)
+        key = np.repeat(np.arange(len(paths)), lengths)[there] * max(len(vocabulary), 1) + term.drop_null().to_numpy()
+        pairs, tf = np.unique(key, return_counts=True)
+        index = TermBlock(paths, lengths.astype(float), pairs // max(len(vocabulary), 1), pairs % max(len(vocabulary), 1), tf.astype(float), idf, average, k1, b)
+        numbers, out = [], []
+        for q, terms_ in enumerate(queries):
+            found = index.best(terms_, k, least[q])
+            numbers += [q] * len(found)
+            out += found
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(numbers, pa.int64())), pa.array([p for p, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=["query_id", "path", "score"])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= most:
+            yield block(held)
+            held, n = [], 0
+    if held:
+        yield block(held)
+
+
+def query_blocks(queries: DataFrame, most: int) -> Iterator[list]:
+    """Queries ``query_id, t`` with at most ``most`` terms in all at a time; only one block is at the driver."""
+    held, size = [], 0
+    for row in queries.toLocalIterator():
+        if held and size + len(row.t) > most:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += len(row.t)
+    if held:
+        yield held
+
+
+def bm25(notes: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, block: int = 1 << 15, one_in: int = 64) -> DataFrame:
     """``query_id, path, score, rank``: the ``k`` best notes of each query, also those without a common term.
 
-    Document counts and the floor for common terms are taken over the whole vocabulary, which
-    is written once; term counts only over the terms of the queries. Notes without any of a
-    query's terms score 0 and fill its list in path order: ``2 k`` paths are enough for that.
+    Terms are split once and written; document counts and the floor for common terms are taken
+    over the whole vocabulary. Queries meet the notes in blocks of ``block`` terms, each a pass over
+    the written terms, in which every task keeps an index of its notes and skips runs of them whose bounds
+    stay below a query's kth score; a sample of one note in ``one_in`` says what that is at least.
+    Notes without any of a query's terms score 0; equal scores go in path order. Queries that are null have no terms.
     """
-    sized = notes.select("path", terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    spark = notes.sparkSession
+    sized = cut(notes.select("path", F.coalesce(terms(F.col("text")), F.array().cast("array<string>")).alias("t")))
+    stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
     df = cut(sized.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
     raw = df.withColumn("raw", F.log(F.lit(float(stats.n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
-    asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    used = raw.join(asked.select("term").distinct(), "term", "left_semi")
-    idf = used.select("term", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
-    tf = sized.select("path", "dl", F.explode("t").alias("term")).join(idf, "term").groupBy("path", "dl", "term", "idf").agg(F.count("*").alias("tf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (stats.avgdl or 1.0)))
-    hits = tf.join(asked, "term").groupBy("query_id", "path").agg(F.round(F.sum(part), 6).alias("score"))
-    first = F.array(*[F.lit(r.path) for r in notes.select("path").orderBy("path").limit(2 * k).collect()])
-    none = queries.select("query_id", F.explode(first.cast("array<string>")).alias("path"), F.lit(0.0).alias("score"))
-    return top(hits.unionByName(none).groupBy("query_id", "path").agg(F.max("score").alias("score")), k)
+    kind = queries.schema["query_id"].dataType
+    schema = f"query_id {kind.simpleString()}, path string, score double"
+    asked = queries.select("query_id", F.coalesce(terms(F.col("query")), F.array().cast("array<string>")).alias("t"))
+    out = spark.createDataFrame([], schema)
+    for some in query_blocks(asked, block):
+        vocabulary = sorted({t for r in some for t in r.t})
+        number = {t: i for i, t in enumerate(vocabulary)}
+        idf = np.zeros(len(vocabulary))
+        wanted = spark.createDataFrame([(t,) for t in vocabulary], "term string")
+        for r in raw.join(wanted, "term").collect():  # no more rows than the block has terms
+            idf[number[r.term]] = epsilon * mean if r.raw < 0 else r.raw
+        counted = [sorted(Counter(number[t] for t in r.t).items()) for r in some]
+        ids = pa.array([r.query_id for r in some], to_arrow_type(kind))
+        average, nothing = float(stats.avgdl or 1.0), np.full(len(some), -np.inf)
+        sent = spark.sparkContext.broadcast((ids, counted, vocabulary, idf))
+
+        def search(rows: DataFrame, least: np.ndarray, sent=sent, average=average) -> DataFrame:
+            return rows.mapInArrow(lambda it: best_notes(it, *sent.value, least, average, k, k1, b), schema)
+
+        sample = top(search(sized.where(F.pmod(F.xxhash64("path"), F.lit(one_in)) == 0), nothing), k).where(F.col("rank") == k)
+        kth = {r.query_id: r.score for r in sample.select("query_id", "score").collect()}  # one row a query of the block
+        out = out.unionByName(search(sized, np.array([kth.get(r.query_id, -np.inf) for r in some])))
+    return top(out, k)
 
 
 def scored_blocks(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
