@@ -15,12 +15,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from noteloom.session import cut
 
-TOKEN_SPLIT = r"(?U)\s+"
+#: White space of any Unicode kind, slashes and hyphens.
+TOKEN_SPLIT = r"[\t-\r\x1c- /\-\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def terms(text: Column) -> Column:
     """Lower-case terms between white space, slashes and hyphens; other marks stay part of them."""
-    return F.filter(F.split(F.lower(F.translate(text, "/-", "  ")), TOKEN_SPLIT), lambda x: x != "")
+    return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda x: x != "")
 
 
 class TermBlock:

@@ -18,7 +18,7 @@ from noteloom.functions import markdown as md
 from noteloom.functions import text as tx
 from noteloom.operators import drafts as dr
 from noteloom.operators.assembly import HUMANITIES, PLACEHOLDER
-from noteloom.operators.validation import NOT_PROSE
+from noteloom.operators.validation import letter_counts
 
 STRINGS = "array<string>"
 #: Columns that a draft may lack, with their types and, in SQL, the values then.
@@ -349,11 +349,11 @@ def body_issues(drafts: DataFrame) -> DataFrame:
     body, more = F.col("body_md"), F.coalesce("append_section", F.lit(""))
     text = F.when(body != "", body).otherwise(more)
     empty = (tx.strip(body) == "") & (more == "")
-    prose = reduce(lambda t, form: F.regexp_replace(t, form, " "), NOT_PROSE, text)
-    rows = drafts.select(
-        "task_id", "draft_id", "ord", "action", empty.alias("empty"), F.length(text).alias("n"), (tx.fences(text) % 2 == 1).alias("open"),
+    texts = drafts.select("task_id", "draft_id", "ord", "action", "is_moc", empty.alias("empty"), text.alias("text"))
+    text = F.col("text")
+    rows = letter_counts(texts, text).select(
+        "task_id", "draft_id", "ord", "action", "empty", "letters", "own", F.length(text).alias("n"), (tx.fences(text) % 2 == 1).alias("open"),
         F.when((F.col("action") == "create") & ~F.col("is_moc") & (F.length(text) >= 40), md.content_blocks(text, PLACEHOLDER)).alias("blocks"),
-        F.regexp_count(prose, F.lit("[а-яА-ЯёЁa-zA-Z]")).alias("letters"), tx.cyrillic(prose).alias("own"),
     )
     share = F.col("own") / F.greatest("letters", F.lit(1))
     percent = F.bround(share * 100, 0).cast("long")

@@ -18,16 +18,31 @@ ERRORS = ("empty_body", "unbalanced_code_fence", "create_path_exists", "update_p
 NOT_PROSE = (r"(?s)```.*?```", r"(?s)\$\$.*?\$\$", r"\$[^$\n]+\$", r"`[^`\n]+`", r"https?://\S+")
 
 
-def body_codes(body: Column, is_new: Column) -> Column:
-    """The codes of all rules that a body breaks; an empty body is told alone."""
+def prose(text: Column) -> Column:
+    return reduce(lambda t, form: F.regexp_replace(t, form, " "), NOT_PROSE, text)
+
+
+def letter_counts(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with the letters that the language check counts: ``own`` of the language's script, ``letters`` of both."""
+    counted = rows.withColumn("prose", prose(text)).withColumn("own", tx.cyrillic(F.col("prose")))
+    return counted.withColumn("letters", F.col("own") + F.regexp_count("prose", F.lit("[a-zA-Z]"))).drop("prose")
+
+
+def body_codes(body: Column, is_new: Column, own: Column | None = None, letters: Column | None = None, is_map: Column | None = None) -> Column:
+    """The codes of all rules that a body breaks; an empty body is told alone, a map needs no structure.
+
+    Where rows are many, take ``own`` and ``letters`` from ``letter_counts``, which goes over the prose once.
+    """
     text = F.coalesce(body, F.lit(""))
-    prose = reduce(lambda t, form: F.regexp_replace(t, form, " "), NOT_PROSE, text)
-    letters = F.regexp_count(prose, F.lit("[а-яА-ЯёЁa-zA-Z]"))
+    if own is None or letters is None:
+        own = tx.cyrillic(prose(text))
+        letters = own + F.regexp_count(prose(text), F.lit("[a-zA-Z]"))
+    checked = is_new if is_map is None else is_new & ~is_map
     rules = F.array_compact(
         F.array(
             F.when(tx.fences(text) % 2 == 1, "unbalanced_code_fence"),
-            F.when(F.length(text) < 40, "very_short_note").when(is_new & (md.content_blocks(text, PLACEHOLDER) < 3), "note_too_short_structural"),
-            F.when((letters >= 200) & (tx.cyrillic_share(prose) < 0.3), "note_language_mismatch"),
+            F.when(F.length(text) < 40, "very_short_note").when(checked & (md.content_blocks(text, PLACEHOLDER) < 3), "note_too_short_structural"),
+            F.when((letters >= 200) & (own / letters < 0.3), "note_language_mismatch"),
         )
     )
     return F.when(tx.strip(text) == "", F.array(F.lit("empty_body"))).otherwise(rules)

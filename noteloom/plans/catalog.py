@@ -419,8 +419,8 @@ BODY = r"""bi AS (SELECT doc_id AS draft_id, body, regexp_replace(regexp_replace
 
 @query(f"WITH {NOTES}, {BODY} SELECT draft_id, code FROM bc")
 def validate_body(spark, d):
-    t = drafts(spark, d)
-    return t.select("draft_id", F.explode(validation.body_codes(F.col("body"), F.col("action") == "create")).alias("code"))
+    t = validation.letter_counts(drafts(spark, d).select("draft_id", "action", F.coalesce("body", F.lit("")).alias("body")), F.col("body"))
+    return t.select("draft_id", F.explode(validation.body_codes(F.col("body"), F.col("action") == "create", F.col("own"), F.col("letters"))).alias("code"))
 
 
 @query(f"""WITH {NOTES}, {PATHS}, {BODY}, al AS (SELECT code FROM iss UNION ALL SELECT code FROM bc)
