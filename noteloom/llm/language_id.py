@@ -22,8 +22,9 @@ from noteloom.llm.tables import giving_back, tokenizer_file
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
-#: Products over words of up to this length stay within double precision; longer ones are summed as logarithms.
+#: Longer words are summed as logarithms from the start, which is only a matter of time: so are shorter ones whose sum comes below ``LOWEST``.
 LONGEST = 40
+LOWEST = 1e-280
 UNKNOWN = 1e-7
 #: Pieces and spans of words are compared by polynomials of their characters modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -94,9 +95,12 @@ class Lattice:
     def forward(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """Log probability of each word under each column of ``table`` (pieces and unknown by languages)."""
         out = np.zeros((len(words), table.shape[1]))
+        low: list[int] = []
         for rows, length, spans in self.by_length(words):
-            out[rows] = np.log(self.alphas(len(rows), length, spans, table)[length])
-        for k in self.long(words):
+            sums = self.alphas(len(rows), length, spans, table)[length]
+            out[rows] = np.log(np.maximum(sums, LOWEST))
+            low += rows[(sums < LOWEST).any(axis=1)].tolist()
+        for k in [*low, *self.long(words)]:
             out[k] = self.log_sums(len(words[k]), self.pieces_in(words[k]), np.log(table))[-1]
         return out
 
@@ -140,17 +144,19 @@ class Lattice:
 
     def expected(self, words: list[str], counts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Expected piece counts of words that occur ``counts`` (words by languages) times."""
-        total = np.zeros_like(table)
+        total, low = np.zeros_like(table), []
         for rows, length, spans in self.by_length(words):
             alpha = self.alphas(len(rows), length, spans, table)
+            small = (alpha[length] < LOWEST).any(axis=1)
+            low += rows[small].tolist()
             beta = np.zeros_like(alpha)
             beta[length] = 1
             for start, end, some, ids in reversed(spans):
                 beta[start][some] += beta[end][some] * table[ids]
-            scale = counts[rows] / alpha[length]
+            scale = np.where(small[:, None], 0.0, counts[rows] / np.maximum(alpha[length], LOWEST))
             for start, end, some, ids in spans:
                 np.add.at(total, ids, alpha[start][some] * table[ids] * beta[end][some] * scale[some])
-        for k in self.long(words):
+        for k in [*low, *self.long(words)]:
             spans, logs, length = self.pieces_in(words[k]), np.log(table), len(words[k])
             alpha = self.log_sums(length, spans, logs)
             turned = np.c_[length - spans[:, 1], length - spans[:, 0], spans[:, 2]]

@@ -4,6 +4,7 @@ import math
 import numpy as np
 from noteloom.llm import language_id as li
 from noteloom.llm import queries
+from noteloom.llm.tables import tokenizer_file
 
 PIECES = {p: k for k, p in enumerate(["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "abb"])}
 
@@ -72,3 +73,26 @@ def test_rows(spark):
     assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
     assert sorted(r.lang_pred for r in got.collect()) == ["und", "x", "x", "y", "y"]
     assert li.identify(docs.limit(0), li.fit(docs.limit(0))).count() == 0
+
+
+def test_words_below_double_precision_keep_their_scores():
+    """As after a fit on millions of words: rare letters of long words cost less than 1e-308 in all."""
+    lattice = li.Lattice({"▁": 0, "q": 1, "z": 2, "qz": 3, "the": 4})
+    table = np.array([[1e-9, 2e-9], [3e-9, 1e-10], [1e-9, 4e-10], [1e-12, 1e-11], [0.5, 0.4], [1e-14, 1e-15]])
+    words = ["▁" + "qz" * 20, "▁the", "▁" + "q" * 36, "▁" + "ж" * 39, "▁" + "qz" * 30]
+    got = lattice.forward(words, table)
+    want = [lattice.log_sums(len(w), lattice.pieces_in(w), np.log(table))[-1] for w in words]
+    assert np.isfinite(got).all() and np.allclose(got, want)
+    counts = np.ones((len(words), 2))
+    spread = lattice.expected(words, counts, table)
+    alone = sum(lattice.expected([w], np.ones((1, 2)), table) for w in words)
+    assert np.isfinite(spread).all() and np.allclose(spread, alone)
+    assert np.allclose(spread[5], 39) and np.all(spread.sum(axis=0) >= 5)
+
+
+def test_scores_of_a_large_fit_are_numbers(spark):
+    words = [(lang, word, 400_000) for lang, many in (("de", "der die und katze"), ("en", "the a and cat")) for word in ["▁" + w for w in many.split()] for _ in range(5)]
+    model = li.learn(words, li.vocabulary(tokenizer_file("piece_bpe_32k.model")))
+    df = spark.createDataFrame([(1, "the cat " + "qz" * 20), (2, "die katze " + "ъq" * 20), (3, "qz" * 20)], "doc_id long, text string")
+    got = {r.doc_id: r for r in li.identify(df, model).collect()}
+    assert got[1].lang_pred == "en" and got[2].lang_pred == "de" and all(0 <= r.score <= 1 for r in got.values())
