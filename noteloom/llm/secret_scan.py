@@ -32,6 +32,8 @@ ALPHABETS = {
 BINS = 300
 #: Candidates below this tenth of a decade, so with p-values above 0.1, tell how many random ones there are.
 SURE = 10
+#: Strata of fewer candidates borrow from their neighbours.
+FEW = 20
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -144,6 +146,16 @@ def candidates_of(text: Column) -> Column:
     return F.when(text.rlike(CANDIDATE), tested(places(text, CANDIDATE, 0, 24))).otherwise(none)
 
 
+def pooled(counts: DataFrame) -> DataFrame:
+    """Counts ``stratum, bin, count`` in which strata of fewer than ``FEW`` candidates also have those of the next shorter and longer ones."""
+    kind, level = F.split_part("stratum", F.lit(":"), F.lit(1)), F.split_part("stratum", F.lit(":"), F.lit(2)).cast("int")
+    near = counts.withColumn("to", F.explode(F.array(level - 1, level, level + 1))).withColumn("own", level == F.col("to"))
+    dealt = near.withColumn("stratum", F.concat_ws(":", kind, F.col("to").cast("string")))
+    total = F.sum(F.when(F.col("own"), F.col("count")).otherwise(0)).over(Window.partitionBy("stratum"))
+    kept = dealt.withColumn("total", total).where("total > 0").where((F.col("total") < FEW) | F.col("own"))
+    return kept.groupBy("stratum", "bin").agg(F.sum("count").alias("count"))
+
+
 def thresholds(docs: DataFrame, text_col: str = "text", rate: float = 0.05) -> dict[str, int]:
     """For each stratum the bin up to which candidates are reported; at most a few hundred strata.
 
@@ -151,14 +163,19 @@ def thresholds(docs: DataFrame, text_col: str = "text", rate: float = 0.05) -> d
     Random candidates have uniform p-values, whatever their length. So those above
     ``SURE`` tell how many random ones a stratum has, and how many of them to expect above
     any bound; what is above the bound beyond that is not random. The bound is the lowest at
-    which this share of those reported is at most ``rate``.
+    which this share of those reported is at most ``rate``; it may lie anywhere between two
+    candidates, so that a stratum's only random string is found too. Strata of few candidates are
+    judged with their neighbours. A random string whose p-value is above that of ``SURE`` (nine in
+    ten) is found however few are like it, as is a lone string of words if its own is as high.
     """
     found = docs.select(F.explode(candidates_of(F.coalesce(F.col(text_col), F.lit("")))).alias("c"))
-    counts = found.groupBy("c.stratum", "c.bin").count()
+    counts = pooled(found.groupBy("c.stratum", "c.bin").count())
     stratum = Window.partitionBy("stratum")
     random_ = F.sum(F.when(F.col("bin") < SURE, F.col("count")).otherwise(0)).over(stratum) / (1 - 10 ** (-SURE / 10))
     placed = counts.withColumn("reported", F.sum("count").over(stratum.orderBy("bin"))).withColumn("random", random_)
-    wanted = F.col("random") * (1 - F.pow(F.lit(10.0), -(F.col("bin") + 1) / 10))
+    beyond = F.coalesce(F.lead("bin").over(stratum.orderBy("bin")), F.lit(BINS + 1))  # up to there no more are reported
+    placed = placed.withColumn("beyond", beyond)
+    wanted = F.col("random") * (1 - F.pow(F.lit(10.0), -F.col("beyond") / 10))
     rows = placed.where(F.col("reported") * (1 - rate) <= wanted).groupBy("stratum").agg(F.max("bin").alias("bin")).collect()
     return {r.stratum: r.bin for r in rows}
 

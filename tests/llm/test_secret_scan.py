@@ -101,3 +101,24 @@ def test_query_on_the_table(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w.startswith(k) for w in want) for k in PATTERNS)
         assert [s for s in r.spans.split(",") if s and not s.startswith("random")] == want
+
+
+def test_few_random_strings_of_a_length_are_found(spark):
+    """One, two and three strings a stratum, of three alphabets and many lengths, and as many names of words."""
+    rng = random.Random(11)
+    found, false = [0, 0], [0, 0]
+    rows = []
+    for size in (26, 33, 40, 70, 130, 300, 700, 1500, 3000):
+        for times, letters in enumerate(("hex", "base32", "base64"), 1):
+            for _ in range(times):
+                rows.append((len(rows), "see " + make(size, ss.ALPHABETS[letters], rng) + " end"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in ss.scan(df).collect():
+        found[0] += any(s.end - s.start > 20 for s in r.secrets)
+        found[1] += 1
+    assert found[0] >= 0.85 * found[1]
+    names = ["_".join(rng.choice(["chapter", "section", "verse", "index", "v2", "part"]) for _ in range(n)) + "_1" for n in range(4, 60)]
+    for r in ss.scan(spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")).collect():
+        false[0] += any(s.kind == "random" for s in r.secrets)
+        false[1] += 1
+    assert false[0] <= 0.1 * false[1]
