@@ -236,3 +236,40 @@ def resolution(kind: Column, verdict: Column) -> Column:
     """Create or update: duplicates update, ambiguous ones follow the verdict, others are created."""
     update = (kind == "duplicate") | ((kind == "ambiguous") & verdict.isin("reuse", "extend"))
     return F.when(F.coalesce(update, F.lit(False)), "update").otherwise("create")
+
+
+def searched(notes: DataFrame, queries: DataFrame, k: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
+    """``query_id, path, score, rank``: the ``3 k`` best notes by terms, put in order by the mixed score, the first ``k``.
+
+    ``vectors (path, vector)`` and ``query_vectors (query_id, q)`` are of one model; a note or query without one keeps
+    its term score. Equal mixed scores keep the order of the term scores.
+    """
+    first = bm25(notes, queries, max(3 * k, k)).withColumnRenamed("rank", "first")
+    if vectors is None or query_vectors is None:
+        mixed = first.withColumn("mixed", F.col("score"))
+    else:
+        both = first.join(query_vectors, "query_id", "left").join(vectors, "path", "left")
+        cos = F.when(F.col("q").isNotNull() & F.col("vector").isNotNull(), cosine(F.col("q"), F.col("vector")))
+        mixed = both.withColumn("mixed", F.round(hybrid(F.col("score"), cos), 6))
+    found = mixed.select("query_id", "path", F.col("mixed").alias("score"), "first")
+    return top(found, k, tie="first").drop("first")
+
+
+def plan_queries(plans: DataFrame) -> DataFrame:
+    """``query_id, query`` of planned notes ``note_id, title, headings``: the title and the headings of its parts."""
+    words = F.concat_ws(" ", F.array("title"), F.coalesce("headings", F.array().cast("array<string>")))
+    return plans.select(F.col("note_id").alias("query_id"), words.alias("query"))
+
+
+def resolved_plans(plans: DataFrame, hits: DataFrame, verdicts: DataFrame, high: float = 0.85, low: float = 0.55) -> DataFrame:
+    """``note_id, score, class, action, existing_path, needs_folder``: what becomes of each planned note.
+
+    ``hits`` has each plan's best note (rank 1), ``verdicts`` ``note_id, verdict`` for ambiguous ones. A plan without a hit
+    is a new note; a duplicate, or an ambiguous one to be reused or extended, updates the note found.
+    """
+    best = hits.where(F.col("rank") == 1).select(F.col("query_id").alias("note_id"), "path", "score")
+    rows = plans.select("note_id").join(best, "note_id", "left").join(verdicts.select("note_id", "verdict").dropDuplicates(["note_id"]), "note_id", "left")
+    kind = F.when(F.col("path").isNotNull(), similarity_class(F.col("score"), high, low))
+    out = rows.select("note_id", "score", kind.alias("class"), "path", "verdict").withColumn("action", resolution(F.coalesce("class", F.lit("distinct")), F.col("verdict")))
+    update = F.col("action") == "update"
+    return out.select("note_id", "score", "class", "action", F.when(update, F.col("path")).alias("existing_path"), (~update).alias("needs_folder"))

@@ -69,3 +69,53 @@ def folders(paths: DataFrame) -> DataFrame:
 
 def tag_list(notes: DataFrame) -> DataFrame:
     return notes.select(F.explode("tags").alias("tag")).distinct()
+
+
+#: The tables of an index, and the column that names a row's note.
+CHILDREN = {"notes": "path", "tags": "path", "front": "path", "links": "source_path", "vectors": "path"}
+
+
+def put_vectors(table: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``path, model, vector`` with the vectors of ``fresh`` in place of those of their note and model.
+
+    If ``fresh`` has several of one note and model, the one with the greatest ``ord`` counts.
+    """
+    last = latest(fresh, ["path", "model"], "ord").select("path", "model", "vector")
+    return table.join(last.select("path", "model"), ["path", "model"], "left_anti").unionByName(last)
+
+
+def vectors_of(table: DataFrame, model: str) -> DataFrame:
+    """``path, vector`` of one model; vectors of different models are never compared."""
+    return table.where(F.col("model") == model).select("path", "vector")
+
+
+def vector_json(table: DataFrame) -> DataFrame:
+    """Vectors as JSON texts, as they are exchanged with other stores; ``from_vector_json`` reads them."""
+    return table.withColumn("vector_json", F.to_json("vector")).drop("vector")
+
+
+def from_vector_json(rows: DataFrame) -> DataFrame:
+    """Rows with their JSON vectors read; those that hold none are left out."""
+    return rows.withColumn("vector", F.from_json("vector_json", "array<double>")).drop("vector_json").where("vector is not null and size(vector) > 0")
+
+
+def synced(old: dict[str, DataFrame], new: dict[str, DataFrame], fresh_vectors: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The index after a pass over a collection, and its counts.
+
+    Notes are told apart by hash. What hangs on a removed note goes with it in all tables; a changed or new
+    note's tags, front matter and links are replaced by its own, and unchanged ones are not touched.
+    Vectors stay until their note goes or ``fresh_vectors`` has one of the same model. Links that lead to a
+    removed note stay with the notes that have them. ``created_at`` of a note is that of its first row.
+    """
+    status = sync_status(old["notes"], new["notes"])
+    touched = status.where("status in ('added', 'updated', 'removed')").select("path")
+    written = status.where("status in ('added', 'updated')").select("path")
+    removed = status.where("status = 'removed'").select("path")
+    out = {"notes": without(upsert(old["notes"], new["notes"].join(written, "path", "left_semi")), removed, "path")}
+    for name in ("tags", "front", "links"):
+        key = CHILDREN[name]
+        own = written.withColumnRenamed("path", key)
+        out[name] = without(old[name], touched, key).unionByName(new[name].join(own, key, "left_semi"))
+    kept = without(old["vectors"], removed, "path")
+    out["vectors"] = kept if fresh_vectors is None else put_vectors(kept, fresh_vectors.join(written, "path", "left_semi"))
+    return out, sync_counts(status)

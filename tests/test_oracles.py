@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from noteloom.plans import catalog, note_catalog, staging_catalog  # noqa: F401  the others add to the first
+from noteloom.plans import catalog, index_catalog, note_catalog, staging_catalog  # noqa: F401  the others add to the first
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
