@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,9 +58,31 @@ def wikilinks(body: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, strip)))
 
 
+@lru_cache(maxsize=1)
+def composites() -> str:
+    """Letters with the marks that they are composed with, as JSON: the two-part compositions of European scripts."""
+    pairs = {}
+    for c in range(0xC0, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(c))
+        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == chr(c):
+            pairs[parts] = chr(c)
+    return json.dumps(pairs)
+
+
+def composed(text: Column) -> Column:
+    """Letters and the marks behind them as single characters, for European scripts; others stay.
+
+    As a column expression it also serves inside functions of arrays; ``markdown.nfc`` is the whole normal form.
+    """
+    known = F.from_json(F.lit(composites()), "map<string,string>")
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s).[\x{300}-\x{36f}]*"), F.lit(0))
+    joined = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(known, p), p)), "")
+    return F.when(text.rlike(r"[\x{300}-\x{36f}]"), joined).otherwise(text)
+
+
 def normalized_title(title: Column) -> Column:
-    """For comparison of links: trimmed, every dash a hyphen; the case stays."""
-    return F.translate(strip(title), DASHES, "-" * len(DASHES))
+    """For comparison of links: composed, trimmed, every dash a hyphen; the case stays."""
+    return F.translate(strip(composed(title)), DASHES, "-" * len(DASHES))
 
 
 def slug(title: Column) -> Column:

@@ -56,9 +56,10 @@ def assembled(subpoints: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def overview(drafts: DataFrame, taken: DataFrame, topic: str = "topic") -> DataFrame:
-    """A map of content for each group with two or more creates: a free title and a list of the notes."""
+    """A map of content for each group with two or more creates: a free title and a list of the notes, those without a description as bare links."""
     creates = drafts.where("action = 'create'")
-    lines = creates.select(topic, "ord", F.concat(F.lit("- [["), "title", F.lit("]] — "), "description").alias("line"))
+    described = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(" — "), "description")).otherwise("")
+    lines = creates.select(topic, "ord", F.concat(F.lit("- [["), "title", F.lit("]]"), described).alias("line"))
     lists = lines.groupBy(topic).agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("l"), F.count("*").alias("n_notes")).where("n_notes > 1")
     base = F.concat(F.col(topic), F.lit(" — обзор"))
     used = taken.select("title").distinct().withColumn("n", F.coalesce(F.regexp_extract("title", r" \((\d+)\)$", 1).try_cast("int"), F.lit(1)))

@@ -137,13 +137,19 @@ def sources_block(refs: Column) -> Column:
 def committed(vault: DataFrame, drafts: DataFrame, deletes: DataFrame, allow_delete: bool, ok: bool) -> DataFrame:
     """``path, content`` after a changeset: creates appear, updates get their section appended, deletes go.
 
-    A changeset that didn't pass validation, or that deletes without leave, is refused.
+    A changeset that didn't pass validation, that deletes without leave, or whose drafts conflict with the vault or
+    each other is refused. ``commit`` keeps collections as versions and tells every conflict.
     """
     if not ok:
         raise ValueError("the changeset hasn't passed validation")
     if not allow_delete and not deletes.isEmpty():
         raise ValueError("the changeset deletes, which isn't allowed")
     added = drafts.where("action = 'create'").select("path", F.col("body_md").alias("content"))
+    sides = drafts.groupBy("path").agg(F.count_if(F.col("action") == "create").alias("n"), F.count_if(F.col("action") == "update").alias("m"))
+    there = sides.join(vault.select("path", F.lit(True).alias("there")).distinct(), "path", "left")
+    clash = there.where("n > 1 or (n > 0 and there) or m > 1 or (m > 0 and n = 0 and there is null)").select("path").first()
+    if clash:
+        raise ValueError(f"the changeset conflicts at {clash.path}")
     more = drafts.where("action = 'update'").select("path", tx.collapse_brackets(tx.strip(F.col("append_section"))).alias("more"))
     kept = vault.join(deletes, "path", "left_anti").join(more, "path", "left")
     content = F.when(F.col("more").isNotNull() & (F.col("more") != ""), F.concat(F.regexp_replace("content", r"(?U)\s+$", ""), F.lit("\n\n"), "more", F.lit("\n")))

@@ -11,6 +11,7 @@ from noteloom.operators import staging as st
 from noteloom.operators.assembly import HUMANITIES
 from noteloom.plans.catalog import NOTES, query
 from noteloom.session import ensure_checkpoint_dir
+from noteloom.sources import changesets as cs
 from noteloom.sources import virtual_vault as vv
 
 TASK = 25
@@ -267,3 +268,21 @@ def committed_version(spark, d):
     out = now["notes"].join(listed("tags", "path", "tag", "tags"), "path", "left").join(listed("links", "source_path", "target_title", "links"), "path", "left")
     out = out.join(now["backups"].select("path", F.lit(True).alias("saved")), "path", "left")
     return out.select("path", F.sha2("content", 256).alias("sha256"), F.coalesce("tags", F.lit("")).alias("tags"), F.coalesce("links", F.lit("")).alias("links"), F.coalesce("saved", F.lit(False)).alias("saved"))
+
+
+@query(f"""WITH {CHANGES}, t AS (SELECT DISTINCT task_id FROM ch)
+  SELECT CAST(t.task_id AS VARCHAR) AS task_id, (SELECT count(*) FROM ch WHERE ch.task_id = t.task_id) AS n_drafts, (SELECT sha256(string_agg(title || chr(10) || path, chr(10) ORDER BY k)) FROM ch WHERE ch.task_id = t.task_id) AS drafts_sha256,
+    (SELECT count(*) FROM ch WHERE ch.task_id = t.task_id AND k % 50 = 7) AS n_deletes, (SELECT count(*) FROM issues i WHERE i.task_id = t.task_id) AS n_issues,
+    (SELECT sha256(string_agg(code || ' ' || message, chr(10) ORDER BY seq)) FROM issues i WHERE i.task_id = t.task_id) AS issues_sha256,
+    NOT EXISTS (SELECT 1 FROM issues i WHERE i.task_id = t.task_id AND level = 'error') AS ok FROM t""")
+def staged_changesets(spark, d):
+    """Every task's changeset saved as files with previews, and read back from them."""
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/staging-{uuid.uuid4().hex}"
+    cs.save_changesets(root, changes(spark, d), change_deletes(spark, d), validation_run(spark, d))
+    sha = lambda c, f: F.sha2(F.array_join(F.transform(c, f), "\n"), 256)
+    return cs.load_changesets(spark, root).select(
+        "task_id", F.size("drafts").cast("long").alias("n_drafts"), sha("drafts", lambda x: F.concat(x["title"], F.lit("\n"), x["path"])).alias("drafts_sha256"),
+        F.size("deletes").cast("long").alias("n_deletes"), F.size("issues").cast("long").alias("n_issues"),
+        F.when(F.size("issues") > 0, sha("issues", lambda x: F.concat(x["code"], F.lit(" "), x["message"]))).alias("issues_sha256"), "ok",
+    )
