@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from noteloom.functions import pages
 from noteloom.functions import text as tx
 from noteloom.operators import limits, retrieval, vault
 from noteloom.plans.catalog import BM25, CALLS, NOTES, OLD, query
@@ -125,3 +126,10 @@ def limit_linear(spark, d):
 @query(limit_sql("step"))
 def limit_step(spark, d):
     return limits_in(spark, d, "step")
+
+
+@query()
+def extracted_pages(spark, d):
+    """The running text of every page, or why there is none; hand-made pages and the table's own are tested."""
+    p = vv.read(spark, d, "pages").select("page_id", pages.extracted(F.col("html")).alias("p"))
+    return p.select("page_id", "p.text", F.when(F.col("p").isNull(), "fetch_error: no page").otherwise(F.col("p.error")).alias("error"))
