@@ -71,3 +71,26 @@ def removed(items: Column, place: int) -> Column:
 
 def added(items: Column, item: Column) -> Column:
     return F.array_append(items, item)
+
+
+def staged_listing(tasks: DataFrame, drafts: DataFrame, results: DataFrame) -> DataFrame:
+    """``task_id, label, created, creates, updates, validation``: staged tasks as a reader sees them, oldest first.
+
+    ``tasks`` has ``task_id, raw_query, created_at``, ``results`` ``task_id, errors, warnings, ok`` of those that were checked. A task
+    without a query is called by its map of content, else by its first new note, else by a dash.
+    """
+    new = F.col("action") == "create"
+    own = drafts.groupBy("task_id").agg(
+        F.min_by(F.when(new & F.col("is_moc"), F.col("title")), F.when(new & F.col("is_moc"), F.col("ord"))).alias("map"), F.min_by(F.when(new, F.col("title")), F.when(new, F.col("ord"))).alias("first"),
+        F.count_if(new).alias("creates"), F.count_if(~new).alias("updates"),
+    )
+    rows = tasks.join(own, "task_id", "left").join(results, "task_id", "left")
+    named = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("raw_query", "map", "first")], F.lit("—"))
+    warned = F.concat(F.lit("warnings="), F.col("warnings").cast("string"), F.lit(")"))
+    checked = F.when(F.col("ok").isNull(), "не проверялся").when(F.col("ok"), F.concat(F.lit("OK ("), warned)).otherwise(
+        F.concat(F.lit("ЕСТЬ ОШИБКИ (errors="), F.col("errors").cast("string"), F.lit(", "), warned)
+    )
+    return rows.orderBy("created_at", "task_id").select(
+        "task_id", preview(named).alias("label"), moscow_time(F.col("created_at")).alias("created"),
+        F.coalesce("creates", F.lit(0)).alias("creates"), F.coalesce("updates", F.lit(0)).alias("updates"), checked.alias("validation"),
+    )

@@ -53,3 +53,14 @@ def units(sources: DataFrame, id_col: str, text_col: str, cap: int = 8000, most:
     some = sources.where(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
     parts = some.select(F.col(id_col).alias("id"), F.posexplode(F.slice(chunk(F.substring(text_col, 1, cap), size), 1, most)).alias("at", "chunk"))
     return parts.select(F.concat_ws("#", F.col("id").cast("string"), F.col("at").cast("string")).alias("unit_id"), "chunk")
+
+
+def candidates(rows: DataFrame, subtopic: str, order: str, most: int) -> DataFrame:
+    """Of each subtopic the first ``2 most`` results (a feature's limit) by ``order``, repeated addresses left out first.
+
+    Addresses are compared without their last slashes and their case, within a subtopic; empty ones go.
+    """
+    key = F.lower(F.rtrim(F.col("url"), F.lit("/")))
+    first = F.row_number().over(Window.partitionBy(subtopic, "key").orderBy(order))
+    unique = rows.withColumn("key", key).where("key <> ''").withColumn("place", first).where("place = 1").drop("key", "place")
+    return first_of_each(unique, subtopic, [order], 2 * most)

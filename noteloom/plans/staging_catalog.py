@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from noteloom.operators import commit as cm
+from noteloom.operators import planning, web
 from noteloom.operators import staging as st
 from noteloom.operators.assembly import HUMANITIES
 from noteloom.plans.catalog import NOTES, query
@@ -286,3 +287,30 @@ def staged_changesets(spark, d):
         F.size("deletes").cast("long").alias("n_deletes"), F.size("issues").cast("long").alias("n_issues"),
         F.when(F.size("issues") > 0, sha("issues", lambda x: F.concat(x["code"], F.lit(" "), x["message"]))).alias("issues_sha256"), "ok",
     )
+
+
+@query("""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS subtopic FROM pages UNION ALL
+    SELECT page_id + 1000000, upper(url) || '//', regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) FROM pages WHERE page_id % 2 = 0),
+  u AS (SELECT * FROM p WHERE rtrim(url, '/') <> '' QUALIFY row_number() OVER (PARTITION BY subtopic, lower(rtrim(url, '/')) ORDER BY page_id) = 1)
+  SELECT page_id, subtopic FROM u QUALIFY row_number() OVER (PARTITION BY subtopic ORDER BY page_id) <= 6""")
+def source_candidates(spark, d):
+    """Search results of each host, every second one found again under another spelling."""
+    p = vv.read(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("subtopic"))
+    again = p.where("page_id % 2 = 0").select((F.col("page_id") + 1_000_000).alias("page_id"), F.concat(F.upper("url"), F.lit("//")).alias("url"), "subtopic")
+    return web.candidates(p.unionByName(again), "subtopic", "page_id", 3).select("page_id", "subtopic")
+
+
+@query(f"""WITH {CHANGES}, t AS (SELECT task_id, count(*) FILTER (NOT late) AS creates, count(*) FILTER (late) AS updates, min(title) FILTER (k % 20 = 4 AND NOT late) AS none,
+    min_by(title, k) FILTER (k % 20 = 4 AND NOT late) AS map, min_by(title, k) FILTER (NOT late) AS first FROM ch GROUP BY 1),
+  r AS (SELECT task_id, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings FROM issues GROUP BY 1),
+  q AS (SELECT t.*, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, CASE WHEN task_id % 4 = 0 THEN repeat('query ', 12) || task_id ELSE coalesce(nullif(map, ''), nullif(first, ''), '—') END AS label
+    FROM t LEFT JOIN r USING (task_id))
+  SELECT task_id, CASE WHEN length(label) > 60 THEN substr(label, 1, 57) || '…' ELSE label END AS label, strftime(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 3 HOUR + to_minutes(CAST(task_id * 7 AS BIGINT)), '%d.%m.%Y %H:%M') || ' по мск' AS created,
+    creates, updates, CASE WHEN task_id % 5 = 0 THEN 'не проверялся' WHEN errors = 0 THEN 'OK (warnings=' || warnings || ')' ELSE 'ЕСТЬ ОШИБКИ (errors=' || errors || ', warnings=' || warnings || ')' END AS validation FROM q""")
+def staged_tasks(spark, d):
+    """The listing of staged tasks: label, time, numbers, result of validation."""
+    rows = changes(spark, d)
+    minutes = F.col("task_id") * 7
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + minutes * 60)
+    tasks = rows.select("task_id").distinct().select("task_id", F.when(F.col("task_id") % 4 == 0, F.concat(F.repeat(F.lit("query "), 12), F.col("task_id").cast("string"))).otherwise("").alias("raw_query"), at.alias("created_at"))
+    return planning.staged_listing(tasks, rows, validation_result(spark, d).where("task_id % 5 <> 0"))
