@@ -122,3 +122,23 @@ def test_exponential_average_equals_the_fold(spark):
     for r in rows[1:]:
         want = 0.3 * r[3] + 0.7 * want
     assert abs(usage.moving_average(df, F.col("x")).first().average - want) < 1e-9
+
+
+def test_listing_labels(spark):
+    from noteloom.operators import planning
+
+    tasks = spark.sql("select * from values (1L, 'asked', timestamp'2024-01-02 00:00:00'), (2L, '', timestamp'2024-01-01 21:00:00'), (3L, null, timestamp'2024-01-03 00:00:00'), (4L, '', timestamp'2024-01-04 00:00:00') t(task_id, raw_query, created_at)")
+    rows = [(2, 0, "create", "First", False), (2, 1, "create", "Map", True), (3, 0, "update", "U", False), (3, 1, "create", "N" * 70, False)]
+    drafts = spark.createDataFrame(rows, "task_id long, ord int, action string, title string, is_moc boolean")
+    results = spark.createDataFrame([(1, 0, 2, True), (2, 1, 0, False)], "task_id long, errors long, warnings long, ok boolean")
+    got = [tuple(r) for r in planning.staged_listing(tasks, drafts, results).collect()]
+    assert got == [
+        (2, "Map", "02.01.2024 00:00 по мск", 2, 0, "ЕСТЬ ОШИБКИ (errors=1, warnings=0)"), (1, "asked", "02.01.2024 03:00 по мск", 0, 0, "OK (warnings=2)"),
+        (3, "N" * 57 + "…", "03.01.2024 03:00 по мск", 1, 1, "не проверялся"), (4, "—", "04.01.2024 03:00 по мск", 0, 0, "не проверялся"),
+    ]
+
+
+def test_candidates_of_subtopics(spark):
+    rows = [(1, "http://a/", "s"), (2, "HTTP://A", "s"), (3, "http://b", "s"), (4, "http://a", "t"), (5, "//", "s"), (6, "http://c", "s"), (7, "http://d", "s")]
+    df = spark.createDataFrame(rows, "n int, url string, topic string")
+    assert sorted(r.n for r in web.candidates(df, "topic", "n", 1).collect()) == [1, 3, 4]
