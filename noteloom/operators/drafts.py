@@ -57,6 +57,9 @@ def merge_groups(drafts: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.select("ord", "title", "tags", "links_out", "body_md").unionByName(alone)
 
 
+# The wording of what a reader is told of drafts, here and in the functions below.
+
+
 def markers(source: Column, unverified: Column, needs_review: Column, rounds: Column) -> Column:
     """What a reader must know of a draft before accepting it."""
     return F.array_compact(

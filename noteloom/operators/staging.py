@@ -413,6 +413,7 @@ def change_report(drafts: DataFrame, deletes: DataFrame, links: DataFrame, issue
     validation and its issues. ``ord`` -1 is a section's heading. ``links`` has a row for each new link.
     """
     rows = completed(drafts)
+    # the wording below is fixed, as that of ``MESSAGES``
     tasks = reduce(DataFrame.union, [x.select("task_id") for x in (rows, deletes, links, issues)]).distinct()
     head = tasks.select("task_id", F.lit(0).alias("section"), F.lit(-1).cast("long").alias("ord"), F.concat(F.lit("Задача: "), F.col("task_id").cast("string")).alias("lines"))
     named = rows.withColumnRenamed("unverified_sections", "unverified").withColumn("append_section", F.coalesce("append_section", F.lit("")))
