@@ -4,10 +4,10 @@ Vectors are lifted to the unit ball so that the largest inner product is the lea
 distance. Centroids come from a bounded sample, split evenly and then refined with a
 penalty on large lists. Every distinct vector goes to its nearest list and, near a
 boundary, to further lists, unless one it already has lies closer to that list's centroid
-than the vector does. A query walks a neighbour graph of the centroids in memory, measures
-the lists that the walk never came to, and keeps all whose distance is within a ratio of
-the nearest one's. Lists above a bound are
-dealt into parts, all of which are searched, so no task grows with a hot list.
+than the vector does. A query walks a neighbour graph of the centroids in memory, and goes
+on while what it finds lies near the distance ratio; the lists within the ratio of the
+nearest one's distance are searched. Lists above a bound are dealt into parts, all of
+which are searched, so no task grows with a hot list.
 
 Equal vectors are indexed once with their least ids: a result never needs more of them.
 """
@@ -30,8 +30,8 @@ from noteloom.session import cut
 class Settings:
     """``sample`` bounds what the driver sees to place at most ``most_lists`` centroids.
 
-    ``probes`` is the width of the walk over the centroids. It doesn't bound the lists that
-    are searched: only ``ratio`` does.
+    A walk over the centroids takes at least ``probes`` steps, and goes on as far as
+    ``slack`` times ``ratio``. Neither bounds the lists that are searched: only ``ratio`` does.
     """
 
     list_rows: int = 256
@@ -40,8 +40,9 @@ class Settings:
     replicas: int = 4
     boundary: float = 0.15
     spread: float = 0.3
-    probes: int = 512
+    probes: int = 64
     ratio: float = 1.13
+    slack: float = 1.1
     degree: int = 24
     part_rows: int = 4096
 
@@ -97,7 +98,21 @@ class Lists:
                 both[j].add(i)
         self.edges = [np.array(sorted(x - {i}), np.int64) for i, x in enumerate(both)]
         step = max(1, len(centroids) // 16)
-        self.entries = np.arange(0, len(centroids), step)
+        self.entries = np.union1d(np.arange(0, len(centroids), step), self.component_heads())
+
+    def component_heads(self) -> np.ndarray:
+        """One centroid of each connected part of the graph, so that a walk can come to all of them."""
+        seen, heads = np.zeros(len(self.edges), bool), []
+        for i in range(len(self.edges)):
+            if not seen[i]:
+                heads.append(i)
+                seen[i], open_ = True, [i]
+                while open_:
+                    x = self.edges[open_.pop()]
+                    fresh = x[~seen[x]]
+                    seen[fresh] = True
+                    open_ += fresh.tolist()
+        return np.array(heads, np.int64)
 
     def assign(self, points: np.ndarray) -> list[list[int]]:
         """Lists of each vector: the nearest, and near a boundary those that no chosen one is closer to."""
@@ -118,36 +133,34 @@ class Lists:
         return out
 
     def probe(self, query: np.ndarray) -> list[int]:
-        """All lists within the distance ratio, the nearest first: a best-first walk, then those it never saw."""
-        want = self.settings.probes
+        """The lists within the distance ratio that a walk over the graph finds, the nearest first.
+
+        A range search: a centroid's neighbours are measured if it is among the ``probes``
+        nearest so far, or within ``slack`` times the ratio. Others are never measured.
+        """
+        settings = self.settings
         away = np.full(len(self.centroids), np.inf)
-        start = self.entries
-        away[start] = d = ((self.centroids[start] - query) ** 2).sum(axis=1)
+
+        def measure(some: np.ndarray) -> list[tuple[float, int]]:
+            away[some] = ((self.centroids[some] - query) ** 2).sum(axis=1)
+            return list(zip(away[some].tolist(), some.tolist(), strict=True))
+
         seen = np.zeros(len(self.centroids), bool)
-        seen[start] = True
-        open_ = list(zip(d.tolist(), start.tolist(), strict=True))
+        seen[self.entries] = True
+        open_ = measure(self.entries)
         heapq.heapify(open_)
-        best = heapq.nsmallest(want, open_)
-        best = [(-x, j) for x, j in best]
-        heapq.heapify(best)
+        least, walked = open_[0][0], 0
         while open_:
             x, j = heapq.heappop(open_)
-            if len(best) == want and x > -best[0][0]:
+            if walked >= settings.probes and x > least * (settings.ratio * settings.slack) ** 2:
                 break
+            walked += 1
             fresh = self.edges[j][~seen[self.edges[j]]]
             seen[fresh] = True
-            away[fresh] = ((self.centroids[fresh] - query) ** 2).sum(axis=1)
-            for y, k in zip(away[fresh].tolist(), fresh.tolist(), strict=True):
-                if len(best) < want:
-                    heapq.heappush(best, (-y, k))
-                elif y < -best[0][0]:
-                    heapq.heapreplace(best, (-y, k))
-                else:
-                    continue
-                heapq.heappush(open_, (y, k))
-        if not seen.all():
-            away[~seen] = ((self.centroids[~seen] - query) ** 2).sum(axis=1)
-        within = np.flatnonzero(away <= away.min() * self.settings.ratio**2)
+            for found in measure(fresh):
+                least = min(least, found[0])
+                heapq.heappush(open_, found)
+        within = np.flatnonzero(away <= least * settings.ratio**2)
         return within[np.argsort(away[within], kind="stable")].tolist()
 
 
