@@ -103,10 +103,21 @@ def op9_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key is ``spark.noteloom.pii.key``; where it is unset each call takes a random one and forgets it."""
+    """The key is ``spark.noteloom.pii.key``; where it is unset each call takes a random one and forgets it.
+
+    ``keyed`` tells whether the session gave the key: only then do two calls agree.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    key = spark.conf.get("spark.noteloom.pii.key", None)
+    done = surrogates.substitute(docs, key.encode() if key else secrets.token_bytes(32))
+    return done.withColumn("n_entities", F.size("entities")).withColumn("keyed", F.lit(bool(key)))
+
+
+def surrogate_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surrogates of the whole table that stand for two originals or for themselves: no rows if all is well."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     key = spark.conf.get("spark.noteloom.pii.key", None)
-    return surrogates.substitute(docs, key.encode() if key else secrets.token_bytes(32)).withColumn("n_entities", F.size("entities"))
+    return surrogates.own_collisions(docs, key.encode() if key else secrets.token_bytes(32))
 
 
 def op11_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,6 +213,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_fm_decontamination": op9_fm_decontamination,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "surrogate_collisions": surrogate_collisions,
     "op11_dual_tree_search": op11_dual_tree_search,
     "op12_burst_trie": op12_burst_trie,
     "op13_chunked_byte_bpe": op13_chunked_byte_bpe,

@@ -111,3 +111,54 @@ def test_query_takes_its_key_from_the_session(spark):
             pieces += [plain[doc_id][last : e["start"]], e["surrogate"]]
             last = e["end"]
         assert text == "".join([*pieces, plain[doc_id][last:]])
+
+
+@pytest.mark.parametrize("text,gone", [
+    ("王伟@example.com", "王伟 王 伟 example"), ("Mr. 王伟 came, 王伟 left", "王伟"), ("MR. SMITH", "SMITH"), ("Mr.  Smith", "Smith"),
+    ("Mr.\xa0Smith", "Smith"), ("Mr.\nSmith", "Smith"), ("Mr. A", " A"), ("call +٣٤ ٦١٢ ٣٤٥ ٦٧٨ now", "٦١٢ ٣٤٥ ٦٧٨"), ("Dr. محمد علي", "محمد علي"),
+    ("२०१-५५५-०१९९", "२०१ ५५५ ०१९९"), ("ΆΝΝΑ@παράδειγμα.gr", "ΆΝΝΑ παράδειγμα"), ("Ms. Ng and Ng", "Ng"), ("Prof. J. R. Smith", "Smith J. R."),
+    ("madame Curie and CURIE", "Curie CURIE"), ("Mr.İnce and ß@straße.de", "İnce straße"),
+])
+def test_nothing_readable_stays_whatever_the_script(text, gone):
+    out, found = su.replaced(text, R)
+    assert found and not [w for w in gone.split() if w in out], out
+    pieces, last = [], 0
+    for e in found:
+        pieces += [text[last : e["start"]], e["surrogate"]]
+        last = e["end"]
+    assert out == "".join([*pieces, text[last:]])
+
+
+@pytest.mark.parametrize("text,kept", [
+    ("Mr. Will will go. Will you?", " will go. Will you?"), ("Mr. May in May", " in May"), ("MS Windows, ms Word, I miss Paris, DR Congo", "MS Windows, ms Word, I miss Paris, DR Congo"),
+    ("Dr\nThe next", "Dr\nThe next"), ("Dr. I saw", "Dr. I saw"), ("Mr. Smith\nThe next", "\nThe next"), ("Ms. An, An apple, an egg", ", An apple, an egg"),
+])
+def test_common_words_stay(text, kept):
+    assert su.replaced(text, R)[0].endswith(kept)
+
+
+def test_common_words_beside_a_name_are_names():
+    will, smith = R.word("Will"), R.word("Smith")
+    assert su.replaced("Dr. Will Smith met Will Smith. Will he?", R)[0] == f"Dr. {will} {smith} met {will} {smith}. Will he?"
+
+
+def test_listed_names_keep_gender_and_length_and_are_one_to_one():
+    for kind, names in su.NAMES.items():
+        names = set(names.split())
+        for name in names:
+            new = R.word(name)
+            assert new != name and len(new) == len(name) and new[0].isupper() and R.word(name.upper()) == new.upper()
+            if name.lower() in R.listed:
+                assert new in names or sum(name in x.split() for x in su.NAMES.values()) > 1, (kind, name, new)
+    rng = random.Random(2)
+    words = {"".join(rng.choices("abcdehilmnorstuy", k=rng.randint(2, 6))).capitalize() for _ in range(3000)} | {n for x in su.NAMES.values() for n in x.split()}
+    new = {w: R.word(w) for w in words}
+    assert len(set(new.values())) == len(words) and all(a != b for a, b in new.items())
+    assert su.Replacer(b"other").listed != R.listed
+
+
+def test_collisions_query(spark):
+    from noteloom.llm import queries
+
+    assert queries.surrogate_collisions(spark, "/root/testdata/sf0.001").count() == 0
+    assert {r.keyed for r in queries.op10_pii_surrogates(spark, "/root/testdata/sf0.001").select("keyed").collect()} == {False}
