@@ -4,7 +4,7 @@ A record's layout is the set of its nested field paths, at any depth. Its finger
 hash of the sorted paths; the fingerprint, not the record, chooses one of the declared
 mappings, the one whose required paths it holds. More paths than these do no harm.
 Records are read in Arrow batches; templates are column functions. Tables of turn rows go
-the same way: each row becomes a record with nested fields.
+the same way: each row becomes a record of one of several layouts.
 
 The template is ``<|turn|>role\\ntext<|end|>\\n`` for each turn. A control string inside
 a text or role gets one backslash after its first character, also where it has some
@@ -181,6 +181,27 @@ def turn_record(conv: Column, turn: Column, role: Column, text: Column) -> Colum
     return F.to_json(F.struct(row.alias("row"), turns.alias("turns")), {"ignoreNullFields": "false"})
 
 
+def layout_record(conv: Column, turn: Column, role: Column, text: Column) -> Column:
+    """A turn row as a JSON record of one of four declared layouts, which its conversation's id chooses.
+
+    Conversations lie as exports of different tools would have them: turn rows, ``messages``,
+    ``conversations`` with speakers of other names, and ``turns`` under further fields. Rows whose
+    role those layouts would not give back as it is written stay turn rows, as do those without an id.
+    """
+    role, text = role.cast("string"), text.cast("string")
+    full = {"ignoreNullFields": "false"}
+    speaker = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    messages = F.struct(conv.alias("id"), F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages"))
+    talk = F.struct(F.array(F.struct(speaker.alias("from"), text.alias("value"))).alias("conversations"), turn.alias("part"))
+    meta = F.struct(F.struct(conv.alias("conversation")).alias("source"), turn.alias("part"))
+    turns = F.struct(meta.alias("meta"), F.array(F.struct(role.alias("role"), text.alias("text"))).alias("turns"))
+    kind = F.when(role.isin("user", "assistant", "system"), F.pmod(conv, F.lit(4)))
+    return (
+        F.when(kind == 1, F.to_json(messages, full)).when(kind == 2, F.to_json(talk, full)).when(kind == 3, F.to_json(turns, full))
+        .otherwise(turn_record(conv, turn, role, text))
+    )
+
+
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, rf"([<\[])(\\*)({CONTROL})", r"$1\\$2$3")
 
@@ -239,7 +260,7 @@ def conversation_digests(
     """Format a table of turns and fold what is read back from the output, one row a conversation.
 
     Each row goes through ``canonical_turns`` as a record of its own, so no record grows with
-    its conversation.
+    its conversation; the records have the mixed layouts of ``layout_record``.
     Turns go in the order of ``turn``, ties by role, then text; null turns come first.
     Repeated rows are turns of their own. Rows with a null conversation form one
     conversation with a null id. Null roles and texts count as empty; the loss mask
@@ -247,7 +268,7 @@ def conversation_digests(
     row by row in sorted order and is never held whole.
     """
     conv, turn = F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn")
-    found = canonical_turns(turn_record(conv, turn, F.col(role_col), F.col(text_col)))
+    found = canonical_turns(layout_record(conv, turn, F.col(role_col), F.col(text_col)))
     turns = rows.select(conv, turn, found.alias("turns")).select("conv_id", "turn", F.explode_outer("turns").alias("t"))
     out = turns.select("conv_id", "turn", format_turn(F.col("t.role"), F.col("t.text")).alias("formatted"))
     role, text = read_turn(F.col("formatted"))

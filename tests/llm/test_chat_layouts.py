@@ -36,3 +36,16 @@ def test_the_query_goes_through_the_mappings(spark, monkeypatch):
     monkeypatch.setattr(cf, "canonical_turns", lambda *a: used.append(1) or real(*a))
     queries.op3_chat_format(spark, "/root/testdata/sf0.001")
     assert used
+
+
+def test_turn_rows_come_in_several_layouts_and_all_read_back(spark):
+    from pyspark.sql import functions as F
+
+    roles = ["user", "assistant", "system", "Assistant", "human", "GPT", "", None, "a\nb"]
+    texts = ["a", "", None, '{"messages": []}', "  \\ \" </s>", "x" * 5000]
+    rows = [(c, t, r, x) for c in (-3, 0, 1, 2, 3, 7, None) for t, r in enumerate(roles) for x in texts]
+    df = spark.createDataFrame(rows, "c long, t long, r string, x string").withColumn("record", cf.layout_record(F.col("c"), F.col("t"), F.col("r"), F.col("x")))
+    got = df.withColumn("mark", cf.record_fingerprint(F.col("record"))).withColumn("turns", cf.canonical_turns(F.col("record"))).collect()
+    assert all([(t.role, t.text) for t in g.turns] == [(g.r or "", g.x or "")] for g in got)
+    assert len({g.mark for g in got}) == 4
+    assert len({cf.chosen(cf.paths_of(cf.parsed(g.record)), cf.MAPPINGS).name for g in got}) == 4
