@@ -26,9 +26,13 @@ def as_documents(df: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their languages looked for; null texts and texts without a letter go, no others."""
+    """Documents with the language found in place of the given one; null texts and texts without a letter go, no others.
+
+    Packing keeps languages apart by it. Where no language is found, for want of any to learn from, the given one stays.
+    """
     model = queries.op5_language_model(docs.select("doc_id", "text", "lang"))
-    return language_id.identify(docs, model).where(F.col("text").rlike(LETTER)).select(*COLUMNS)
+    found = language_id.identify(docs.where(F.col("text").rlike(LETTER)), model)
+    return found.withColumn("lang", F.when(F.col("lang_pred") == "und", F.col("lang")).otherwise(F.col("lang_pred"))).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = 3, percent: int = 90) -> DataFrame:
@@ -58,8 +62,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
-    return packing.pack(docs)
+    """Where each piece of each document goes, in sequences of one language each; ``lang`` follows."""
+    return packing.pack(docs, group_col="lang")
 
 
 #: What counts as a near copy in the pipeline: five-word shingles, Jaccard of 0.8 or more.

@@ -139,44 +139,53 @@ def windows(counts: dict[int, int], capacity: int) -> Iterator[dict[int, int]]:
 
 
 def packed(
-    batches: Iterable[pa.RecordBatch], path: str, capacity: int, end_id: int, waiting: int
+    batches: Iterable[pa.RecordBatch], path: str, capacity: int, end_id: int, waiting: int, group_col: str | None = None
 ) -> Iterator[pa.RecordBatch]:
-    """One task's pieces. At most ``waiting`` remainders wait at a time, so memory is bounded."""
+    """One task's pieces. At most ``waiting`` remainders wait at a time, so memory is bounded.
+
+    A third column is the group of each document, with which its pieces end.
+    """
     encode, end = ChunkEncoder(path), end_id.to_bytes(4, "little")
     first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
     made, rows = 0, []
-    remainders: dict[int, list[tuple]] = defaultdict(list)
+    remainders: dict[str | None, dict[int, list[tuple]]] = defaultdict(lambda: defaultdict(list))
     n_waiting = 0
     names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = [pa.int64()] * len(names)
+    if group_col is not None:
+        names, kinds = [*names, group_col], [*kinds, pa.string()]
 
     def flush() -> None:
         nonlocal made, n_waiting
-        for used in windows({k: len(v) for k, v in remainders.items()}, capacity):
-            offset = 0
-            for length in sorted(used, reverse=True):
-                for _ in range(used[length]):
-                    rows.append((*remainders[length].pop(), first + made, offset))
-                    offset += length
-            made += 1
+        for group, mine in remainders.items():
+            end_of = () if group_col is None else (group,)
+            for used in windows({k: len(v) for k, v in mine.items()}, capacity):
+                offset = 0
+                for length in sorted(used, reverse=True):
+                    for _ in range(used[length]):
+                        rows.append((*mine[length].pop(), first + made, offset, *end_of))
+                        offset += length
+                made += 1
         remainders.clear()
         n_waiting = 0
 
     def out() -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
         rows.clear()
         return batch
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        groups = [None] * batch.num_rows if group_col is None else batch.column(2).to_pylist()
+        for doc_id, text, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), groups, strict=True):
             ids = encode(text or "") + end
             n, start = len(ids) // 4, 0
             while n - start >= capacity:
                 piece = ids[4 * start : 4 * (start + capacity)]
-                rows.append((doc_id, start, capacity, zlib.crc32(piece), n, first + made, 0))
+                rows.append((doc_id, start, capacity, zlib.crc32(piece), n, first + made, 0, *(() if group_col is None else (group,))))
                 made, start = made + 1, start + capacity
             if start < n:
-                remainders[n - start].append((doc_id, start, n - start, zlib.crc32(ids[4 * start :]), n))
+                remainders[group][n - start].append((doc_id, start, n - start, zlib.crc32(ids[4 * start :]), n))
                 n_waiting += 1
                 if n_waiting >= waiting:
                     flush()
@@ -194,6 +203,7 @@ def pack(
     tokenizer_path: str | None = None,
     end_id: int = 1,
     waiting: int = 65_536,
+    group_col: str | None = None,
 ) -> DataFrame:
     """The pieces of every document and their places in windows of ``capacity`` tokens.
 
@@ -202,8 +212,13 @@ def pack(
     gives no rows. Other columns are not read. Remainders wait in groups of ``waiting``
     (default 65,536) at most: that bounds a task's memory and costs one part-filled
     window a group. Window numbers are the task's number shifted left by 33 bits plus a
-    count, so they are unique over the table.
+    count, so they are unique over the table. Where ``group_col`` is given no window holds
+    pieces of two of its values, nulls being one, and the pieces end with it, as text; each
+    value then leaves part-filled windows of its own.
     """
     path = tokenizer_file("word_bpe_49k.json", tokenizer_path)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(lambda it: giving_back(packed, it, path, capacity, end_id, waiting), SCHEMA)
+    if group_col is None:
+        return chosen.mapInArrow(lambda it: giving_back(packed, it, path, capacity, end_id, waiting), SCHEMA)
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(group_col).cast("string").alias(group_col))
+    return chosen.mapInArrow(lambda it: giving_back(packed, it, path, capacity, end_id, waiting, group_col), f"{SCHEMA}, `{group_col}` string")
