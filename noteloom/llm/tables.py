@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from noteloom.session import small_batches  # noqa: F401  operators take it from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; any store that Spark's readers open will do."""
@@ -35,13 +37,6 @@ def batches_of(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Bound the bytes of an Arrow batch as well as its rows, unless the session has a bound of its own."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) in (None, str(2**31 - 1), f"{2**31 - 1}b"):
-        spark.conf.set(name, str(most))
-
-
 def let_go(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files and checkpoints that nothing refers to any more.
 

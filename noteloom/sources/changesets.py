@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.operators.staging import DRAFT, completed
-from noteloom.sources.files import read_files, write_files
+from noteloom.sources.files import read_inside, write_files
 from noteloom.sources.notes import rendered
 
 NAME = "changeset.json"
@@ -48,11 +48,11 @@ def save_changesets(folder: str, drafts: DataFrame, deletes: DataFrame, issues:
 
 def load_changesets(spark: SparkSession, folder: str) -> DataFrame:
     """``SCHEMA`` of every task in ``folder``; files that can't be read as such are left out."""
-    files = read_files(spark, folder, NAME).where(F.col("path").rlike(rf"^[^/]+/{NAME}$"))
+    files = read_inside(spark, folder, NAME)
     parsed = files.select(F.from_json("content", SCHEMA + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("c"))
     return parsed.select("c.*").where("_corrupt_record is null and task_id is not null").drop("_corrupt_record")
 
 
 def pending_tasks(spark: SparkSession, folder: str) -> DataFrame:
     """``task_id`` of the folders that hold a changeset."""
-    return read_files(spark, folder, NAME).where(F.col("path").rlike(rf"^[^/]+/{NAME}$")).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("task_id"))
+    return read_inside(spark, folder, NAME).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("task_id"))

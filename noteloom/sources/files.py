@@ -1,4 +1,4 @@
-"""Folders of text files as a Spark data source: every file a row, and rows written as files all at once.
+"""Folders of text files as a Spark data source: every file a row, and rows written as files all at once by tasks.
 
 Unlike Spark's own readers it keeps files whose names begin with ``_`` or ``.``, and skips only what lies in folders
 whose names begin with ``.``. It opens any store that Arrow opens by its address; all executors must reach it.
@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import posixpath
 import uuid
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from noteloom.session import ensure_checkpoint_dir, small_batches
+
 STAGED = ".staged-"
 
 
@@ -33,22 +36,24 @@ class Part(InputPartition):
     names: list[str]
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    names: list[str]
-
-
 class Reader(DataSourceReader):
-    """Partitions of about ``bytes`` of files each."""
+    """Partitions of about ``bytes`` of files each; with ``inside``, of ``FOLDERS`` folders, in which tasks look for the file of that name."""
+
+    FOLDERS = 256
 
     def __init__(self, options: dict):
         self.root, self.suffix = options["path"], options.get("suffix", ".md")
+        self.inside = options.get("inside")
         self.most = int(options.get("bytes", 32 << 20))
 
     def partitions(self) -> list[Part]:
         fs, root = store(self.root)
         if fs.get_file_info(root).type == pafs.FileType.NotFound:
             raise FileNotFoundError(f"no folder {self.root}")
+        if self.inside is not None:
+            own = (i.base_name for i in fs.get_file_info(pafs.FileSelector(root)) if i.type == pafs.FileType.Directory)
+            names = sorted(n for n in own if not n.startswith("."))
+            return [Part([f"{n}/{self.inside}" for n in names[k : k + self.FOLDERS]]) for k in range(0, len(names), self.FOLDERS)]
         out, held, size = [], [], 0
         for info in sorted(fs.get_file_info(pafs.FileSelector(root, recursive=True)), key=lambda i: i.path):
             name = info.path[len(root) :].lstrip("/")
@@ -66,54 +71,14 @@ class Reader(DataSourceReader):
             return
         fs, root = store(self.root)
         for name in part.names:
+            if self.inside is not None and fs.get_file_info(f"{root}/{name}").type != pafs.FileType.File:
+                continue
             with fs.open_input_stream(f"{root}/{name}") as file:
                 yield name, file.read().decode("utf-8", "replace")
 
 
-class Writer(DataSourceWriter):
-    """Files are staged by the tasks and moved when all have ended; none that exists is written over unless asked."""
-
-    def __init__(self, options: dict, overwrite: bool):
-        self.root, self.overwrite = options["path"], overwrite
-        self.job = f"{STAGED}{uuid.uuid4().hex}"
-
-    def write(self, rows: Iterator) -> Written:
-        fs, root = store(self.root)
-        task, names = uuid.uuid4().hex, []
-        for row in rows:
-            name = posixpath.normpath(row["path"] or "")
-            if name.startswith(("/", "..")) or name == ".":
-                raise ValueError(f"not a path inside the folder: {row['path']}")
-            place = f"{root}/{self.job}/{task}/{name}"
-            fs.create_dir(posixpath.dirname(place))
-            with fs.open_output_stream(place) as file:
-                file.write((row["content"] or "").encode())
-            names.append(f"{task}/{name}")
-        return Written(names)
-
-    def commit(self, messages: list) -> None:
-        fs, root = store(self.root)
-        staged = [n for m in messages if m is not None for n in m.names]
-        names = [n.split("/", 1)[1] for n in staged]
-        try:
-            twice = sorted(n for n, times in Counter(names).items() if times > 1)
-            there = [n for n in names if fs.get_file_info(f"{root}/{n}").type != pafs.FileType.NotFound] if not self.overwrite else []
-            if twice or there:
-                raise FileExistsError(f"written twice: {twice[:5]}; already there: {there[:5]}")
-            for place, name in zip(staged, names, strict=True):
-                fs.create_dir(posixpath.dirname(f"{root}/{name}"))
-                fs.move(f"{root}/{self.job}/{place}", f"{root}/{name}")
-        finally:
-            self.abort(messages)
-
-    def abort(self, messages: list) -> None:
-        fs, root = store(self.root)
-        if fs.get_file_info(f"{root}/{self.job}").type == pafs.FileType.Directory:
-            fs.delete_dir(f"{root}/{self.job}")
-
-
 class TextFiles(DataSource):
-    """Options: ``path``, for reading also ``suffix`` (.md) and ``bytes`` of a partition. ``append`` refuses existing files, ``overwrite`` replaces them."""
+    """Options: ``path``, ``suffix`` (.md) and ``bytes`` of a partition; ``inside`` reads only the file of that name in each folder under ``path``."""
 
     @classmethod
     def name(cls) -> str:
@@ -125,9 +90,6 @@ class TextFiles(DataSource):
     def reader(self, schema: StructType) -> Reader:
         return Reader(dict(self.options))
 
-    def writer(self, schema: StructType, overwrite: bool) -> Writer:
-        return Writer(dict(self.options), overwrite)
-
 
 def read_files(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
     """``path, content`` of the files under ``root``, paths relative to it; bytes that aren't UTF-8 become U+FFFD."""
@@ -135,7 +97,79 @@ def read_files(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame
     return spark.read.format("text_files").option("suffix", suffix).load(root)
 
 
+def read_inside(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """``path, content`` of the files ``*/name`` under ``root``; only the folders are listed, what else they hold is not."""
+    spark.dataSource.register(TextFiles)
+    return spark.read.format("text_files").option("inside", name).load(root)
+
+
+def staged(batches: Iterable[pa.RecordBatch], root: str, job: str) -> Iterator[pa.RecordBatch]:
+    """Writes files to a folder of the task's own and says where: ``place, path``."""
+    fs, root = store(root)
+    task, n = uuid.uuid4().hex, 0
+    for batch in batches:
+        places, names = [], []
+        for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            name = posixpath.normpath(path.as_py() or "")
+            if name.startswith(("/", "..")) or name == ".":
+                raise ValueError(f"not a path inside the folder: {path}")
+            if not n:
+                fs.create_dir(f"{root}/{job}/{task}")
+            with fs.open_output_stream(f"{root}/{job}/{task}/{n}") as file:
+                file.write((content.as_py() or "").encode())
+            places.append(f"{task}/{n}")
+            names.append(name)
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.string()), pa.array(names, pa.string())], names=["place", "path"])
+
+
+def existing(batches: Iterable[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    """Of ``path`` those that the folder has."""
+    fs, root = store(root)
+    for batch in batches:
+        there = [n for n in batch.column(0).to_pylist() if fs.get_file_info(f"{root}/{n}").type != pafs.FileType.NotFound]
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.string())], names=["path"])
+
+
+def placed(batches: Iterable[pa.RecordBatch], root: str, job: str) -> Iterator[pa.RecordBatch]:
+    """Moves ``place, path``; a task that runs again leaves what has been moved."""
+    fs, root = store(root)
+    made: set[str] = set()
+    for batch in batches:
+        for place, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            folder = posixpath.dirname(f"{root}/{name}")
+            if folder not in made:
+                fs.create_dir(folder)
+                made.add(folder)
+            try:
+                fs.move(f"{root}/{job}/{place}", f"{root}/{name}")
+            except FileNotFoundError:
+                if fs.get_file_info(f"{root}/{name}").type != pafs.FileType.File:
+                    raise
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+
 def write_files(rows: DataFrame, root: str, overwrite: bool = False) -> None:
-    """Rows ``path, content`` as files under ``root``: all of them, or none."""
-    rows.sparkSession.dataSource.register(TextFiles)
-    rows.select("path", "content").write.format("text_files").mode("overwrite" if overwrite else "append").save(root)
+    """Rows ``path, content`` as files under ``root``: all of them, or none; none that exists is written over unless asked.
+
+    Tasks stage the files, and move them when all are staged; the names stand in the shared checkpoint
+    folder and don't come to the driver.
+    """
+    spark, job = rows.sparkSession, f"{STAGED}{uuid.uuid4().hex}"
+    ensure_checkpoint_dir(spark)
+    small_batches(spark)
+    listing = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/files-{uuid.uuid4().hex}"
+    try:
+        rows.select("path", "content").mapInArrow(lambda it: staged(it, root, job), "place string, path string").write.parquet(listing)
+        names = spark.read.parquet(listing)
+        twice = sorted(r.path for r in names.groupBy("path").count().where("count > 1").limit(5).collect())
+        there = [] if overwrite else [r.path for r in names.select("path").mapInArrow(lambda it: existing(it, root), "path string").limit(5).collect()]
+        if twice or there:
+            raise FileExistsError(f"written twice: {twice}; already there: {there}")
+        names.repartition("path").mapInArrow(lambda it: placed(it, root, job), "n long").agg(F.sum("n")).collect()
+    finally:
+        fs, folder = store(root)
+        if fs.get_file_info(f"{folder}/{job}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{folder}/{job}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(listing)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -1,5 +1,6 @@
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,21 @@ def test_changesets(spark, tmp_path):
     assert sorted(r.task_id for r in cs.pending_tasks(spark, root).collect()) == ["1", "2", "3", "4"]
     cs.save_changesets(root, drafts.where("task_id = 2").withColumn("title", F.lit("C2")), deletes.limit(0), issues.limit(0))
     assert {r.task_id: len(r.drafts) for r in cs.load_changesets(spark, root).collect()} == {"1": 2, "2": 1, "3": 0}
+
+
+def test_changesets_are_found_without_a_look_at_their_previews(spark, tmp_path):
+    some = spark.range(40).select(F.concat((F.col("id") % 4).cast("string"), F.lit("/p/"), F.col("id").cast("string"), F.lit(".md")).alias("path"), F.lit("x").alias("content"))
+    files.write_files(some.unionByName(rows(spark, ("0/changeset.json", "{}"), ("3/changeset.json", "[]"))), str(tmp_path))
+    assert len(tree(tmp_path)) == 42
+    reader = files.Reader({"path": str(tmp_path), "inside": "changeset.json"})
+    assert [p.names for p in reader.partitions()] == [[f"{k}/changeset.json" for k in range(4)]]
+    assert sorted((r.path, r.content) for r in files.read_inside(spark, str(tmp_path), "changeset.json").collect()) == [("0/changeset.json", "{}"), ("3/changeset.json", "[]")]
+
+
+def test_tasks_move_what_they_staged_and_may_run_again(tmp_path):
+    job = f"{files.STAGED}x"
+    batch = pa.RecordBatch.from_pydict({"path": ["a/b.md", "a/c.md"], "content": ["B", None]})
+    moves = list(files.staged([batch], str(tmp_path), job))
+    for _ in range(2):
+        assert [n for b in files.placed(moves, str(tmp_path), job) for n in b.column(0).to_pylist()] == [2]
+    assert (tmp_path / "a" / "b.md").read_text() == "B" and (tmp_path / "a" / "c.md").read_text() == ""
