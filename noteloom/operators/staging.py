@@ -19,6 +19,7 @@ from noteloom.functions import text as tx
 from noteloom.operators import drafts as dr
 from noteloom.operators.assembly import HUMANITIES, PLACEHOLDER
 from noteloom.operators.validation import letter_counts
+from noteloom.session import cut
 
 STRINGS = "array<string>"
 #: Columns that a draft may lack, with their types and, in SQL, the values then.
@@ -411,8 +412,9 @@ def change_report(drafts: DataFrame, deletes: DataFrame, links: DataFrame, issue
 
     Sections: 0 the task, 1 new notes, 2 updates, 3 deletes, 4 number of new links, 5 the result of
     validation and its issues. ``ord`` -1 is a section's heading. ``links`` has a row for each new link.
+    The issues are written once, since three sections read them and a validation is dear.
     """
-    rows = completed(drafts)
+    rows, issues = completed(drafts), cut(issues)
     # the wording below is fixed, as that of ``MESSAGES``
     tasks = reduce(DataFrame.union, [x.select("task_id") for x in (rows, deletes, links, issues)]).distinct()
     head = tasks.select("task_id", F.lit(0).alias("section"), F.lit(-1).cast("long").alias("ord"), F.concat(F.lit("Задача: "), F.col("task_id").cast("string")).alias("lines"))

@@ -157,3 +157,19 @@ def test_change_report(spark):
         "  ❌ [delete_not_allowed] Changeset содержит 2 операций удаления, но ALLOW_DELETE=false. Удаление заблокировано по умолчанию.",
         "  ⚠️ [note_too_short_structural] " + st.MESSAGES["note_too_short_structural"][1].replace("{0}", "0"),
     ]
+
+
+def test_a_report_goes_over_its_issues_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(level):
+        seen.add(1)
+        return level
+
+    issues = spark.createDataFrame([(1, 1, "error", "c", "m", "d"), (1, 2, "warning", "c", "m", "d"), (2, 1, "warning", "c", "m", "e")], "task_id long, seq int, level string, code string, message string, draft_id string")
+    issues = issues.withColumn("level", F.udf(counted, "string").asNondeterministic()("level"))
+    drafts = spark.createDataFrame([(1, "d", 0, "create", "d.md", "D"), (2, "e", 0, "create", "e.md", "E")], "task_id long, draft_id string, ord long, action string, path string, title string")
+    none = drafts.limit(0).select("task_id", "path")
+    told = {(r.task_id, r.ord): r.lines for r in st.change_report(drafts, none, none.select("task_id"), issues).where("section = 5").collect()}
+    assert len(told) == 5 and told[1, -1] == "Валидация: ЕСТЬ ОШИБКИ (errors=1, warnings=1)" and told[2, 1] == "  ⚠️ [c] m"
+    assert seen.value == 3
