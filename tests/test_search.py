@@ -59,3 +59,23 @@ def test_runs_below_the_bound_are_skipped():
     scores = index.scores
     index.scores = lambda t, allowed: (seen.append(int(allowed.sum())), scores(t, allowed))[1]
     assert [p for p, _ in index.best([(0, 1)], 3, -np.inf)] == ["00000", "00512", "01024"] and max(seen) < 6
+
+
+def test_queries_go_through_a_block_together():
+    """Each query has what it has alone, also one without a known term, and none makes calls of its own."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n, pairs = 500, np.unique(rng.integers(0, 500 * 40, 4000))
+    index = retrieval.TermBlock([f"{i:05d}" for i in range(n)], rng.integers(1, 30, n).astype(float), pairs // 40, pairs % 40, rng.integers(1, 4, len(pairs)).astype(float), rng.random(45), 9.0, 1.5, 0.75)
+    lists = [sorted({int(t): int(m) for t, m in zip(rng.integers(0, 45, 6), rng.integers(1, 3, 6), strict=True)}.items()) for _ in range(150)] + [[(42, 1)], []]
+    flat = np.array([p for x in lists for p in x])
+    least = np.where(np.arange(len(lists)) % 3 == 0, 0.8, -np.inf)
+    asked = retrieval.Queries(np.cumsum([0, *map(len, lists)]), flat[:, 0], flat[:, 1])
+    calls, scores = [], index.scores
+    index.scores = lambda *x: (calls.append(1), scores(*x))[1]
+    numbers, rows, score = index.best_of_each(asked, 4, least)
+    assert len(calls) <= 2 * -(-len(lists) // 64)
+    got = [[(index.paths[i], float(x)) for i, x in zip(rows[numbers == q], score[numbers == q], strict=True)] for q in range(len(lists))]
+    assert got == [index.best(x, 4, least[q]) for q, x in enumerate(lists)]
+    assert [p for p, _ in got[150]] == ([] if 150 % 3 == 0 else sorted(index.paths)[:4]) and len(got[151]) == 4
