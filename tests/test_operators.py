@@ -142,3 +142,19 @@ def test_candidates_of_subtopics(spark):
     rows = [(1, "http://a/", "s"), (2, "HTTP://A", "s"), (3, "http://b", "s"), (4, "http://a", "t"), (5, "//", "s"), (6, "http://c", "s"), (7, "http://d", "s")]
     df = spark.createDataFrame(rows, "n int, url string, topic string")
     assert sorted(r.n for r in web.candidates(df, "topic", "n", 1).collect()) == [1, 3, 4]
+
+
+def test_texts_are_cut_in_batches_of_bounded_bytes(spark):
+    """Whatever the session had, units bound the bytes that Python gets at a time; pieces are those of ``pieces``."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        texts = [("x" * (k * 97 % 9000)) + (". ą\n" * (k % 50)) for k in range(1, 200)] + [" " * 3500]
+        rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+        got = {r.unit_id: r.chunk for r in web.units(rows, "id", "text").collect()}
+        assert got == {f"{i}#{at}": p for i, t in enumerate(texts) for at, p in enumerate(web.pieces(t[:8000], 3000)[:3])}
+        assert int(spark.conf.get(name)) <= 8 << 20
+    finally:
+        if before is not None:
+            spark.conf.set(name, before)
